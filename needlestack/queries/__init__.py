@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def registry():
     """All queries and their SQL, by name."""
-    from . import relational
+    from . import ranking, relational
     queries, sql = {}, {}
-    for module in (relational,):
+    for module in (relational, ranking):
         queries.update(module.QUERIES)
         sql.update(module.SQL)
     return queries, sql
