@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def registry():
     """All queries and their SQL, by name."""
-    from . import ranking, relational
+    from . import learning, ranking, relational
     queries, sql = {}, {}
-    for module in (relational, ranking):
+    for module in (relational, ranking, learning):
         queries.update(module.QUERIES)
         sql.update(module.SQL)
     return queries, sql
