@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..inflight import in_flight
 from ..operators.curves import average_precision, roc_auc
 from ..operators.history import patience_rule
 from ..operators.metrics import f1_loss
@@ -149,12 +151,13 @@ def boosting_cv(learner, df: DataFrame, fold: str, k: int, patience: int,
                 metric: str | Callable = "map") -> tuple[DataFrame, DataFrame]:
     """Per-round metric of every fold, and the patience rule on its mean over folds."""
     label = learner.getLabelCol()
-    parts = None
-    for f in range(k):
+
+    def one(f):
         model = learner.fit(df.where(F.col(fold) != f))
         h = _round_metric(staged_scores(model, df.where(F.col(fold) == f), [label]), label, metric)
-        h = h.select(F.lit(f).alias("fold"), "iteration", "value")
-        parts = h if parts is None else parts.unionByName(h)
+        return h.select(F.lit(f).alias("fold"), "iteration", "value")
+
+    parts = reduce(DataFrame.unionByName, in_flight(one, range(k)))
     history = df.sparkSession.createDataFrame(parts.collect(), parts.schema)   # k rows per round
     mean = history.groupBy("iteration").agg(F.avg("value").alias("value"))
     larger = METRICS.get(metric, False) if isinstance(metric, str) else False

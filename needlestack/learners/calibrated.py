@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..inflight import in_flight
 from ..operators.split import stratified_folds
 from ..sources.scratch import materialize
 from .scores import score
@@ -55,12 +56,13 @@ class SigmoidCalibrated(Estimator):
     def _fit(self, dataset: DataFrame) -> "SigmoidCalibratedModel":
         folds = materialize(stratified_folds(dataset.drop("seed", "fold"), self.label, self.id_col,
                                              self.k, [self.seed]), "calibration")
-        members = []
-        for f in range(self.k):
+
+        def one(f):
             model = self.classifier.copy().fit(folds.where(F.col("fold") != f))
             held = score(model, folds.where(F.col("fold") == f), "__p").select(self.label, "__p")
-            members.append((model, *sigmoid_fit(held, self.label, "__p")))
-        return SigmoidCalibratedModel(members)
+            return model, *sigmoid_fit(held, self.label, "__p")
+
+        return SigmoidCalibratedModel(in_flight(one, range(self.k)))
 
 
 class SigmoidCalibratedModel(Model):

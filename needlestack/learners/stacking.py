@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from ..inflight import in_flight
 from ..operators.split import stratified_split
 from ..sources.scratch import materialize
 from .scores import score
@@ -35,7 +36,7 @@ class Stacking(Estimator):
                                               self.share, self.seed), "halves")
         first = halves.where(F.col("split") == "train")
         second = halves.where(F.col("split") == "test").drop("split", "seed")
-        models = [b.fit(first) for b in self.bases]
+        models = in_flight(lambda b: b.fit(first), self.bases)
         return models, materialize(_add_scores(models, second), "stacked")
 
     def _fit(self, dataset: DataFrame) -> "StackingModel":

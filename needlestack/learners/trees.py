@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, RandomForestClassifier,
 )
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import scratch_path
 
@@ -75,8 +75,7 @@ def tree_nodes(model) -> DataFrame:
     (tree, node, feature_index, threshold, left, right, prediction, gain, n); leaves
     have NULL split fields. Nothing but the file goes through the driver.
     """
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     path = scratch_path(spark, "model")
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -106,8 +105,7 @@ def tree_rules(model, names: Sequence[str]) -> DataFrame:
 
 def importances(model, names: Sequence[str], kind: str = "gain") -> DataFrame:
     """(feature, importance). gain: normalised impurity gain. splits: times used in a node."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     if kind == "gain":
         v = model.featureImportances
         return spark.createDataFrame([(n, float(v[i])) for i, n in enumerate(names)],

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..inflight import PARALLELISM, in_flight
 from ..learners.scores import score
 from ..operators import metrics
 from ..operators.curves import average_precision, roc_auc
@@ -14,18 +16,16 @@ from ..sources.scratch import materialize
 
 
 def oof_predict(estimator, df: DataFrame, fold: str, k: int, label: str,
-                keep: Sequence[str] = ()) -> DataFrame:
+                keep: Sequence[str] = (), parallelism: int = PARALLELISM) -> DataFrame:
     """(keep..., fold, label, p): every row scored by the model that did not see its fold.
 
-    Fold models are fitted one after another, each on all executors, and the union of
-    their scores is written once so that metrics never run a model again.
+    The union of the fold scores is written once, so metrics never run a model again.
     """
-    parts = None
-    for f in range(k):
+    def one(f):
         model = estimator.copy().fit(df.where(F.col(fold) != f))
-        part = score(model, df.where(F.col(fold) == f), "p").select(*keep, fold, label, "p")
-        parts = part if parts is None else parts.unionByName(part)
-    return materialize(parts, "oof")
+        return score(model, df.where(F.col(fold) == f), "p").select(*keep, fold, label, "p")
+
+    return materialize(reduce(DataFrame.unionByName, in_flight(one, range(k), parallelism)), "oof")
 
 
 def metric_value(df: DataFrame, metric: str | Callable, label: str, p: str = "p",
@@ -49,10 +49,10 @@ def metric_value(df: DataFrame, metric: str | Callable, label: str, p: str = "p"
 
 
 def cv_score(estimator, df: DataFrame, fold: str, k: int, label: str, metric="f1",
-             reduce: str = "pool") -> DataFrame:
+             how: str = "pool") -> DataFrame:
     """One row (value, std, n). pool: one metric over all out-of-fold rows. mean: per fold."""
     oof = oof_predict(estimator, df, fold, k, label)
-    if reduce == "pool":
+    if how == "pool":
         return metric_value(oof, metric, label).select(
             "value", F.lit(0.0).alias("std"), F.lit(1).cast("long").alias("n"))
     per = metric_value(oof, metric, label, by=[fold])
@@ -66,26 +66,32 @@ def fold_scores(estimator, df: DataFrame, fold: str, k: int, label: str, metric=
 
 def learning_curve(estimator, df: DataFrame, label: str, id_col: str,
                    fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), reps: int = 5,
-                   test_size: float = 0.25, metric="f1", seed: int = 1) -> DataFrame:
+                   test_size: float = 0.25, metric="f1", seed: int = 1,
+                   parallelism: int = PARALLELISM) -> DataFrame:
     """(fraction, train_mean, train_std, test_mean, test_std) over repeated splits.
 
     Train subsets of one repetition are nested prefixes of the same order.
     """
-    parts = None
-    for r in range(reps):
+    def ordered(r):
         halves = stratified_split(df, label, id_col, test_size, seed + r).drop("seed")
-        ordered = train_subsets(halves.where(F.col("split") == "train"), label, id_col, fractions, seed + r)
-        rows = materialize(ordered.unionByName(halves.where(F.col("split") == "test"),
-                                               allowMissingColumns=True), "curve_rows")
-        test = rows.where(F.col("split") == "test")
-        for f in fractions:
-            subset = rows.where(F.col("min_fraction") <= f)
-            model = estimator.copy().fit(subset)
-            for name, part in (("train", subset), ("test", test)):
-                s = score(model, part, "p").select(
-                    F.lit(float(f)).alias("fraction"), F.lit(r).alias("rep"),
-                    F.lit(name).alias("part"), F.col(label), "p")
-                parts = s if parts is None else parts.unionByName(s)
+        train = train_subsets(halves.where(F.col("split") == "train"), label, id_col, fractions, seed + r)
+        test = halves.where(F.col("split") == "test")
+        return materialize(train.unionByName(test, allowMissingColumns=True), "curve_rows")
+
+    rows = in_flight(ordered, range(reps), parallelism)
+
+    def one(job):
+        r, f = job
+        subset = rows[r].where(F.col("min_fraction") <= f)
+        model = estimator.copy().fit(subset)
+        # Test rows are in no subset, so one pass scores both parts.
+        both = rows[r].where((F.col("split") == "test") | (F.col("min_fraction") <= f))
+        return score(model, both, "p").select(
+            F.lit(float(f)).alias("fraction"), F.lit(r).alias("rep"), F.col("split").alias("part"),
+            F.col(label), "p")
+
+    jobs = [(r, f) for r in range(reps) for f in fractions]
+    parts = reduce(DataFrame.unionByName, in_flight(one, jobs, parallelism))
     scored = materialize(parts, "learning")
     per = metric_value(scored, metric, label, by=["fraction", "rep", "part"])
     pick = lambda part, agg: agg(F.when(F.col("part") == part, F.col("value")))
@@ -113,13 +119,15 @@ def importance_sweep(make, train: DataFrame, test: DataFrame, importances: DataF
     `make(cols)` builds an estimator over those columns. One fit per distinct importance.
     """
     imp = importances.orderBy("importance", "feature").collect()      # one row per feature
-    rows = []
-    for t in sorted({r["importance"] for r in imp}):
+
+    def one(t):
         cols = [r["feature"] for r in imp if r["importance"] >= t]
         z = score(make(cols).fit(train), test, "p")
         acc = metric_value(z, "accuracy", label).first()["value"]
         f1 = metric_value(z, "f1", label).first()["value"]
-        rows.append((float(t), len(cols), float(acc), float(f1)))
+        return float(t), len(cols), float(acc), float(f1)
+
+    rows = in_flight(one, sorted({r["importance"] for r in imp}))
     return train.sparkSession.createDataFrame(rows, "threshold double, n int, accuracy double, f1 double")
 
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..inflight import PARALLELISM, in_flight
 from ..learners.scores import score
 from ..operators.split import stratified_folds
 from ..sources.scratch import materialize
@@ -42,23 +42,20 @@ def best_trial(trials: DataFrame) -> DataFrame:
 
 
 def run_trials(objective: Callable[[dict], Mapping], sets: Sequence[dict],
-               parallelism: int = 1) -> list[dict]:
+               parallelism: int = PARALLELISM) -> list[dict]:
     def one(params):
         out = objective(params)
         out = out if isinstance(out, Mapping) else {"loss": out}
         return {"params": params, "loss": out["loss"], "attachments": out.get("attachments", {})}
 
-    if parallelism <= 1:
-        return [one(p) for p in sets]
-    with ThreadPool(parallelism) as pool:
-        return pool.map(one, sets)
+    return in_flight(one, sets, parallelism)
 
 
 def cv_objective(make: Callable[[dict], object], df: DataFrame, fold: str, k: int, label: str,
-                 metric="f1", reduce: str = "pool") -> Callable[[dict], dict]:
+                 metric="f1", how: str = "pool") -> Callable[[dict], dict]:
     """Loss of a parameter set: 1 - metric for scores, the metric itself for losses."""
     def objective(params):
-        value = cv_score(make(params), df, fold, k, label, metric, reduce).first()["value"]
+        value = cv_score(make(params), df, fold, k, label, metric, how).first()["value"]
         return {"loss": 1.0 - value if metric in LARGER_IS_BETTER else value}
     return objective
 
@@ -71,14 +68,14 @@ def holdout_objective(make, train: DataFrame, test: DataFrame, label: str, metri
     return objective
 
 
-def grid_search(spark, objective, grid: Mapping[str, Sequence], parallelism: int = 1) -> DataFrame:
+def grid_search(spark, objective, grid: Mapping[str, Sequence], parallelism: int = PARALLELISM) -> DataFrame:
     names = list(grid)
     sets = [dict(zip(names, values)) for values in product(*[grid[n] for n in names])]
     return trial_table(spark, run_trials(objective, sets, parallelism))
 
 
 def random_search(spark, objective, space: Mapping, n_iter: int, seed: int = 1,
-                  parallelism: int = 1) -> DataFrame:
+                  parallelism: int = PARALLELISM) -> DataFrame:
     rng = np.random.default_rng(seed)
     sets = [draw(space, rng) for _ in range(n_iter)]
     return trial_table(spark, run_trials(objective, sets, parallelism))
@@ -86,23 +83,25 @@ def random_search(spark, objective, space: Mapping, n_iter: int, seed: int = 1,
 
 def nested_random_search(make, df: DataFrame, label: str, id_col: str, space: Mapping, n_iter: int,
                          outer: str = "fold", k: int = 4, inner_k: int = 3, metric="f1",
-                         seed: int = 1) -> DataFrame:
+                         seed: int = 1, parallelism: int = PARALLELISM) -> DataFrame:
     """(fold, inner_loss, outer_value, params): the best draw of each outer training part,
     refitted on that part and scored on the fold it never saw."""
     rng = np.random.default_rng(seed)
     sets = [draw(space, rng) for _ in range(n_iter)]
-    rows = []
-    for f in range(k):
+
+    def one(f):
         train = df.where(F.col(outer) != f).drop("seed", outer)
         inner = materialize(
             stratified_folds(train, label, id_col, inner_k, [seed]).withColumnRenamed("fold", "inner"),
             "inner")
-        done = run_trials(cv_objective(make, inner, "inner", inner_k, label, metric), sets)
+        done = run_trials(cv_objective(make, inner, "inner", inner_k, label, metric), sets, 1)
         best = min(done, key=lambda t: t["loss"])
         model = make(best["params"]).fit(inner)
         value = metric_value(score(model, df.where(F.col(outer) == f)), metric, label).first()["value"]
         number = {p: float(v) for p, v in best["params"].items() if isinstance(v, (int, float))}
-        rows.append((f, float(best["loss"]), float(value), number))
+        return f, float(best["loss"]), float(value), number
+
+    rows = in_flight(one, range(k), parallelism)
     return df.sparkSession.createDataFrame(
         rows, "fold int, inner_loss double, outer_value double, params map<string,double>")
 
@@ -161,7 +160,7 @@ def _next_set(space, done, rng, share, candidates):
 
 def adaptive_search(spark, objective, space: Mapping, n_trials: int, batch: int = 5,
                     startup: int = 10, seed: int = 1, share: float = 0.25, candidates: int = 24,
-                    parallelism: int = 1) -> DataFrame:
+                    parallelism: int = PARALLELISM) -> DataFrame:
     """Rounds of trials drawn where good losses are dense (Bergstra et al., 2011).
 
     The first `startup` sets are random. Each later round draws `batch` sets from the

@@ -11,6 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA
 from pyspark.sql import functions as F
 
+from ..inflight import in_flight
 from ..learners import boosting, calibrated, trees
 from ..learners.fourier import RbfSVC
 from ..learners.knn import KNNClassifier
@@ -133,8 +134,8 @@ data AS (SELECT fold, p_price AS x, 1.0::DOUBLE AS s,
 {newton_sql("fold", "0")} SELECT fold, round(b, 2) AS slope, round(a, 2) AS intercept FROM fitted""")
 def sigmoid_calibration(spark, sf):
     df = _scored_folds(spark, sf)
-    rows = [(f, *calibrated.sigmoid_fit(df.where(F.col("fold") == f), "rare", "p_price"))
-            for f in range(4)]
+    rows = in_flight(lambda f: (f, *calibrated.sigmoid_fit(df.where(F.col("fold") == f), "rare", "p_price")),
+                     range(4))
     return spark.createDataFrame(rows, "fold int, slope double, intercept double").select(
         "fold", F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
@@ -373,8 +374,9 @@ def model_votes(spark, sf):
               "gb": _on_docs(_boost(), "none"), "rf": _on_docs(_forest(), "none"),
               "nn": _on_docs(_net(epochs=15)), "svm": _on_docs(_svm())}
     out = df.where(F.col("fold") == 0)
-    for name, est in models.items():
-        out = score(est.fit(train), out, name)
+    fitted = in_flight(lambda name: models[name].fit(train), list(models))
+    for name, model in zip(models, fitted):
+        out = score(model, out, name)
     out = materialize(out.select("doc_id", "y", *models), "votes")
     soft = votes.soft_vote(out, list(models), [2, 1, 1, 1, 1, 1], p="soft", pred="soft_class")
     cut = {m: 0.0 if m == "svm" else 0.5 for m in models}
@@ -409,8 +411,7 @@ def grid_search_trials(spark, sf):
     df = _docs(spark, sf, 3)
     make = lambda p: _on_docs(_tree(p), "none")
     objective = search.cv_objective(make, df, "fold", 3, "y", "f1")
-    return search.grid_search(spark, objective, {"max_depth": [1, 2, 3], "min_samples_leaf": [2, 8]},
-                              parallelism=3)
+    return search.grid_search(spark, objective, {"max_depth": [1, 2, 3], "min_samples_leaf": [2, 8]})
 
 
 @query()
@@ -427,7 +428,7 @@ def adaptive_search_trials(spark, sf):
     make = lambda p: _on_docs(_logit(C=p["C"], maxIter=30))
     objective = search.cv_objective(make, df, "fold", 2, "y", "ap", "mean")
     return search.adaptive_search(spark, objective, {"C": spaces.LogUniform(-5, 4)}, 8, batch=2,
-                                  startup=4, parallelism=2)
+                                  startup=4)
 
 
 @query()
