@@ -19,7 +19,9 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import checkpointed
+
+ROWS_PER_PARTITION = 1_000_000
 
 
 def _shapes(layers: Sequence[int]):
@@ -49,6 +51,11 @@ def forward(flat: np.ndarray, layers, x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(h[:, 0], -500, 500)))
 
 
+def _loss(p, y, w) -> float:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return float((-w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+
+
 def _gradient(flat, layers, x, y, w, dropout, rng):
     """Gradient of the weighted mean cross-entropy with inverted dropout on hidden layers."""
     params = _unpack(flat, layers)
@@ -84,18 +91,22 @@ class DenseNetwork(Estimator):
 
     hidden, dropout, max_norm: one entry per hidden layer. The step size at update u
     is lr / (1 + decay * u). `partitions` fixes how rows are grouped, and with the id
-    and seed it fixes the result.
+    and seed it fixes the result; by default it follows the row count. With `validCol`
+    and `patience`, rows marked there are held out, training stops once their loss has
+    not improved for that many epochs, and the model carries `best_n`.
     """
 
     @keyword_only
     def __init__(self, *, hidden=(18, 13), dropout=(0.0, 0.0), max_norm=(0.0, 0.0), lr=0.2,
-                 decay=0.0, momentum=0.9, batch=1024, epochs=50, partitions=8, seed=1,
-                 featuresCol="features", labelCol="label", weightCol=None, idCol="row_id"):
+                 decay=0.0, momentum=0.9, batch=1024, epochs=50, partitions=None, seed=1,
+                 featuresCol="features", labelCol="label", weightCol=None, idCol="row_id",
+                 validCol=None, patience=None):
         super().__init__()
         self.args = dict(hidden=tuple(hidden), dropout=tuple(dropout), max_norm=tuple(max_norm),
                          lr=lr, decay=decay, momentum=momentum, batch=batch, epochs=epochs,
                          partitions=partitions, seed=seed, featuresCol=featuresCol,
-                         labelCol=labelCol, weightCol=weightCol, idCol=idCol)
+                         labelCol=labelCol, weightCol=weightCol, idCol=idCol, validCol=validCol,
+                         patience=patience)
 
     def copy(self, extra=None):
         return DenseNetwork(**self.args)
@@ -110,28 +121,44 @@ class DenseNetwork(Estimator):
     def _fit(self, dataset: DataFrame) -> "DenseNetworkModel":
         a = self.args
         weight = F.col(a["weightCol"]) if a["weightCol"] else F.lit(1.0)
+        held = F.col(a["validCol"]) if a["validCol"] else F.lit(False)
         mixed = F.xxhash64(F.col(a["idCol"]), F.lit(a["seed"]))
+        parts = a["partitions"] or max(1, -(-dataset.count() // ROWS_PER_PARTITION))
         rows = dataset.select(
-            mixed.alias("h"), F.col(a["idCol"]).alias("i"), vector_to_array(a["featuresCol"], "float32").alias("x"),
-            F.col(a["labelCol"]).cast("float").alias("y"), weight.cast("float").alias("w"))
-        # Shuffled and ordered by hash once; every epoch then re-reads the same files.
-        rows = materialize(
-            rows.withColumn("part", F.pmod("h", F.lit(a["partitions"])))
-            .repartition(a["partitions"], "part").sortWithinPartitions("part", "h", "i")
-            .select("part", "h", "i", "x", "y", "w"), "mlp")
-        dim = len(rows.first()["x"])
-        layers = [dim, *a["hidden"], 1]
+            mixed.alias("h"), F.col(a["idCol"]).alias("i"),
+            vector_to_array(a["featuresCol"], "float32").alias("x"),
+            F.col(a["labelCol"]).cast("float").alias("y"), weight.cast("float").alias("w"),
+            held.alias("held"))
+        # Grouped and ordered by hash once; every epoch re-reads the checkpoint, which
+        # keeps that grouping and order.
+        rows = checkpointed(
+            rows.withColumn("part", F.pmod("h", F.lit(parts)))
+            .repartition(parts, "part").sortWithinPartitions("part", "h", "i")
+            .select("h", "x", "y", "w", "held"))
+        layers = [len(rows.first()["x"]), *a["hidden"], 1]
         rng = np.random.default_rng(a["seed"])
         flat = np.zeros(_size(layers))
         for w, _ in _unpack(flat, layers):
             w[:] = rng.uniform(-1, 1, w.shape) * np.sqrt(6.0 / sum(w.shape))
         velocity = np.zeros_like(flat)
-        history, updates = [], 0
-        for epoch in range(a["epochs"]):
-            flat, velocity, updates, loss = self._epoch(rows, layers, flat, velocity, epoch, updates)
-            history.append(loss)
+        history, updates, best = [], 0, (np.inf, 0)
+        # The held-out loss of an epoch is read by the job of the next one, so stopping
+        # costs no extra pass; the loop runs one round further to read the last.
+        rounds = a["epochs"] + (1 if a["validCol"] else 0)
+        for epoch in range(rounds):
+            new, velocity, updates, loss, held_loss = self._epoch(
+                rows, layers, flat, velocity, epoch, updates)
+            if epoch and a["validCol"]:
+                history[-1]["valid"] = held_loss
+                if held_loss < best[0]:
+                    best = (held_loss, epoch)
+                if a["patience"] and epoch - best[1] >= a["patience"]:
+                    break
+            if epoch < a["epochs"]:
+                flat = new
+                history.append({"train": loss})
         model = DenseNetworkModel(layers=layers, weights=flat.tolist(), featuresCol=a["featuresCol"])
-        model.history = history
+        model.history, model.best_n = history, best[1] or len(history)
         return model
 
     def _epoch(self, rows, layers, flat, velocity, epoch, updates):
@@ -139,38 +166,53 @@ class DenseNetwork(Estimator):
 
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, v = flat.copy(), velocity.copy()
-            seen, u, loss = 0.0, updates, 0.0
-            rng = None
+            seen, u, loss, rng = 0.0, updates, 0.0, None
+            held_loss, held_seen = 0.0, 0.0
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                if rng is None:
-                    rng = np.random.default_rng([a["seed"], epoch, int(pdf["h"].iloc[0]) & 0x7FFFFFFF])
-                x = np.array(pdf["x"].tolist(), dtype=np.float64)
-                y, cw = pdf["y"].to_numpy(np.float64), pdf["w"].to_numpy(np.float64)
-                p = np.clip(forward(w, layers, x), 1e-12, 1 - 1e-12)
-                loss += float((-cw * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
-                for s in range(0, len(x), a["batch"]):
-                    part = slice(s, s + a["batch"])
-                    g = _gradient(w, layers, x[part], y[part], cw[part], a["dropout"], rng)
-                    step = a["lr"] / (1.0 + a["decay"] * u)
-                    v = a["momentum"] * v - step * g
-                    w = w + v
-                    _clip_norms(w, layers, a["max_norm"])
-                    u += 1
-                seen += cw.sum()
+                held = pdf["held"].to_numpy(bool)
+                for part, is_held in ((pdf[held], True), (pdf[~held], False)):
+                    if part.empty:
+                        continue
+                    x = np.array(part["x"].tolist(), dtype=np.float64)
+                    y, cw = part["y"].to_numpy(np.float64), part["w"].to_numpy(np.float64)
+                    if is_held:
+                        held_loss += _loss(forward(flat, layers, x), y, cw)
+                        held_seen += cw.sum()
+                        continue
+                    if rng is None:
+                        first = int(part["h"].iloc[0]) & 0x7FFFFFFF
+                        rng = np.random.default_rng([a["seed"], epoch, first])
+                    loss += _loss(forward(w, layers, x), y, cw)
+                    seen += cw.sum()
+                    for s in range(0, len(x), a["batch"]):
+                        cut = slice(s, s + a["batch"])
+                        g = _gradient(w, layers, x[cut], y[cut], cw[cut], a["dropout"], rng)
+                        v = a["momentum"] * v - a["lr"] / (1.0 + a["decay"] * u) * g
+                        w = w + v
+                        _clip_norms(w, layers, a["max_norm"])
+                        u += 1
             if seen:
                 values = np.concatenate([w, v, [u - updates, loss / seen]]) * seen
                 yield pd.DataFrame({"k": np.arange(len(values)), "v": values, "n": seen})
+            if held_seen:
+                yield pd.DataFrame({"k": [2 * size + 2], "v": [held_loss], "n": [held_seen]})
 
         out = rows.mapInPandas(train, "k int, v double, n double")
         mean = out.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        values = np.zeros(2 * size + 2)
+        values = np.zeros(2 * size + 3)
         for r in mean:
             values[r["k"]] = r["v"]
-        flat = values[:size]
-        _clip_norms(flat, layers, a["max_norm"])
-        return flat, values[size:2 * size], updates + int(round(values[-2])), float(values[-1])
+        new = values[:size]
+        _clip_norms(new, layers, a["max_norm"])
+        return (new, values[size:2 * size], updates + int(round(values[2 * size])),
+                float(values[2 * size + 1]), float(values[2 * size + 2]))
+
+
+def network_history(spark, model) -> DataFrame:
+    """(dataset, metric, iteration, value) of a fitted network, one row per epoch and part."""
+    rows = [(part, "logloss", i + 1, float(v)) for i, h in enumerate(model.history)
+            for part, v in h.items()]
+    return spark.createDataFrame(rows, "dataset string, metric string, iteration int, value double")
 
 
 class DenseNetworkModel(Model, DefaultParamsReadable, DefaultParamsWritable):

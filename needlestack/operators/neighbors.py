@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..sources.scratch import materialize
+
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 100_000
 MAX_CELLS = 1024
@@ -101,46 +103,62 @@ def _block_nearest(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude_self: bool,
     return pd.concat(parts)[names]
 
 
-def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
-            exclude_self: bool = False, payload: Sequence[str] = (),
-            block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
-            max_cells: int = MAX_CELLS) -> DataFrame:
-    """(query_id, neighbor_id, distance, rank, payload) for the k nearest train rows.
+def _partition(t: DataFrame, q: DataFrame, need: int, cells: int):
+    """Train rows with their cell, queries with the cells they must visit, rows per cell.
 
-    `payload` columns of the train row come along. Ties break by neighbour id.
+    Both are written once, since several jobs read them. The driver sees a bounded
+    number of pivots and a few numbers per cell.
     """
-    spark = train.sparkSession
-    payload = list(payload)
-    wide = F.col(vec).cast("array<double>").alias("vec")
-    t = train.select(F.col(id_col).alias("id"), wide, *payload)
-    q = query.select(F.col(id_col).alias("id"), wide)
-    need = k + int(exclude_self)
-
-    n = t.count()
-    cells = max(1, min(max_cells, -(-n // block_rows)))
     first = t.orderBy(F.xxhash64("vec"), "id").select("vec").limit(cells).collect()
     pivots = np.unique(np.array([r["vec"] for r in first], dtype=np.float64), axis=0)
-
     t = t.withColumn("c", _cell_udf(pivots)("vec")).select("*", "c.cell", "c.away").drop("c")
+    t = materialize(t, "knn_train")
     by_distance = Window.partitionBy("cell").orderBy("away")
-    kth_rows = (
+    shape = t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"),
+                                  F.max("away").alias("high")).collect()
+    # The limit per cell is applied before the shuffle, so a crowded cell stays cheap.
+    closest = (
         t.select("cell", "away").withColumn("r", F.row_number().over(by_distance))
         .where(F.col("r") <= need).groupBy("cell")
         .agg(F.max("away").alias("kth"), F.count(F.lit(1)).alias("m"))
     ).collect()
-    shape = t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"),
-                                  F.max("away").alias("high")).collect()
     p = len(pivots)
     low, high, kth = np.zeros(p), np.zeros(p), np.full(p, np.inf)
     counts = np.zeros(p, dtype=np.int64)
     for r in shape:
         counts[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
-    for r in kth_rows:
+    for r in closest:
         if r["m"] >= need:
             kth[r["cell"]] = r["kth"]
+    q = q.withColumn("cells", _targets_udf(pivots, low, high, kth, counts, need)("vec"))
+    return t.drop("away"), materialize(q, "knn_query"), counts
+
+
+def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
+            exclude_self: bool = False, payload: Sequence[str] = (),
+            block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
+            max_cells: int = MAX_CELLS) -> DataFrame:
+    """(query_id, neighbor_id, distance, rank, payload) for the k nearest train rows.
 
-    q = q.withColumn("cell", F.explode(_targets_udf(pivots, low, high, kth, counts, need)("vec")))
-    loads = {r["cell"]: r["m"] for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}
+    `payload` columns of the train row come along. Ties break by neighbour id.
+    """
+    spark = train.sparkSession
+    payload = list(payload)
+    wide = F.col(vec).cast("array<double>").alias("vec")
+    t = train.select(F.col(id_col).alias("id"), wide, *payload)
+    q = query.select(F.col(id_col).alias("id"), wide)
+    need = k + int(exclude_self)
+
+    n = t.count()
+    cells = max(1, min(max_cells, -(-n // block_rows)))
+    if cells == 1:
+        counts = [n]
+        t, q = t.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0))
+        loads = {0: q.count()}
+    else:
+        t, q, counts = _partition(t, q, need, cells)
+        q = q.withColumn("cell", F.explode("cells")).drop("cells")
+        loads = {r["cell"]: r["m"] for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}
     plan = spark.createDataFrame(
         [(c, int(max(1, -(-counts[c] // block_rows))), int(max(1, -(-m // query_rows))))
          for c, m in loads.items()], "cell int, t_chunks int, q_chunks int")
@@ -152,7 +170,7 @@ def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
                 .drop("t_chunks", "q_chunks"))
 
-    tq = spread(t.drop("away"), "tc", "t_chunks", "qc", "q_chunks")
+    tq = spread(t, "tc", "t_chunks", "qc", "q_chunks")
     qq = spread(q, "qc", "q_chunks", "tc", "t_chunks")
     id_type, out_id = query.schema[id_col].dataType, train.schema[id_col].dataType
     schema = T.StructType([

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DISTINCT_LIMIT = 1_000_000
+DISTINCT_LIMIT = 100_000
 ACCURACY = 10_000
 
 

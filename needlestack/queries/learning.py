@@ -16,7 +16,7 @@ from ..learners import boosting, calibrated, trees
 from ..learners.fourier import RbfSVC
 from ..learners.knn import KNNClassifier
 from ..learners.linear import PenalisedLogistic
-from ..learners.mlp import DenseNetwork, network_from_trial
+from ..learners.mlp import DenseNetwork, network_from_trial, network_history
 from ..learners.scores import score
 from ..learners.stacking import Stacking, stacked_columns
 from ..operators import metrics, prep, split, votes
@@ -249,6 +249,15 @@ def network_three_layer_scores(spark, sf):
     return _held_out(_on_docs(net), _docs(spark, sf), "doc_id", "y")
 
 
+@query()
+def network_early_stop(spark, sf):
+    """Train and held-out loss per epoch, stopped by patience on the held-out loss."""
+    df = _docs(spark, sf).withColumn("valid", F.col("fold") == 0)
+    net = _net(epochs=30, validCol="valid", patience=5)
+    model = _on_docs(net).fit(df).stages[-1]
+    return network_history(spark, model).withColumn("best_n", F.lit(model.best_n))
+
+
 @query()
 def tree_rule_table(spark, sf):
     df = _docs(spark, sf)
@@ -295,7 +304,7 @@ def refit_scores(spark, sf):
 def boosting_cv_history(spark, sf):
     data = prep.assemble(_docs(spark, sf, 3), TEXT_FEATURES)
     history, best = boosting.boosting_cv(_boost({"n_estimators": 6}), data, "fold", 3, 3, "map")
-    return history.join(F.broadcast(best.select("best_iteration")), how="cross")
+    return history.withColumn("best_n", F.lit(best.first()["best_iteration"]))
 
 
 @query()

@@ -14,16 +14,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     A cluster names it in spark.checkpoint.dir. Only where nothing is set, as in
     tests on one machine, a new temporary folder is made and registered.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    made = tempfile.mkdtemp(prefix="needlestack-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir() or made
+    if current is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="needlestack-"))
+        current = sc.getCheckpointDir()
+    return named or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,3 +38,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder. Keeps partitions and the order inside them."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
