@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 PARALLELISM = 4
 
@@ -15,5 +16,6 @@ def in_flight(f: Callable, items: Sequence, parallelism: int = PARALLELISM) -> l
     items = list(items)
     if parallelism <= 1 or len(items) <= 1:
         return [f(i) for i in items]
+    f = inheritable_thread_target(SparkSession.builder.getOrCreate())(f)
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(f), items)
+        return pool.map(f, items)

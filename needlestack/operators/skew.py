@@ -41,5 +41,6 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str],
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), on=keys)
     salted = big.withColumn("__s", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)))
-    copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    copies = small.withColumn("__s", F.explode(salts))
     return salted.join(copies, on=[*keys, "__s"]).drop("__s")

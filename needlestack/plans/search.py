@@ -165,7 +165,8 @@ def adaptive_search(spark, objective, space: Mapping, n_trials: int, batch: int
 
     The first `startup` sets are random. Each later round draws `batch` sets from the
     ratio of densities of the best `share` of trials and the rest, parameter by
-    parameter; a parameter of an absent branch does not count.
+    parameter; a parameter of an absent branch does not count. The last set of a round
+    is random, so a branch that started badly is still tried.
     """
     rng = np.random.default_rng(seed)
     done: list[dict] = []
@@ -175,5 +176,7 @@ def adaptive_search(spark, objective, space: Mapping, n_trials: int, batch: int
         else:
             sets = [_next_set(space, done, rng, share, candidates)
                     for _ in range(min(batch, n_trials - len(done)))]
+            if len(sets) > 1:
+                sets[-1] = draw(space, rng)
         done += run_trials(objective, sets, parallelism)
     return trial_table(spark, done)
