@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import materialize
 from .ordered import ROWS_PER_BUCKET, order_splits, running, with_bucket
 from .skew import HOT_SHARE, join_counted
 
@@ -54,9 +55,11 @@ def rank_average(df: DataFrame, id_col: str, cols: Sequence[str], out: str = "ra
     """
     long = df.select(id_col, *cols).unpivot([id_col], list(cols), "model", "score")
     long = long.where(F.col("score").isNotNull())
-    ranks = min_ranks(long.select("model", "score"), ["model"], "score", rows_per_bucket)
+    # Ranks and sums are each read twice, so they are written once.
+    ranks = materialize(
+        min_ranks(long.select("model", "score"), ["model"], "score", rows_per_bucket), "ranks")
     ranked = join_counted(long, ranks, ["model", "score"],
                           F.col("n") * HOT_SHARE >= F.col("group_n"), ["rank0"])
-    sums = ranked.groupBy(id_col).agg(F.sum("rank0").alias("__s"))
+    sums = materialize(ranked.groupBy(id_col).agg(F.sum("rank0").alias("__s")), "rank_sums")
     top = sums.agg(F.max("__s").alias("m"))
     return sums.select(id_col, F.try_divide(F.col("__s").cast("double"), top.scalar()).alias(out))

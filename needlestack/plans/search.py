@@ -118,15 +118,16 @@ def _log_density(points: np.ndarray, at: np.ndarray, span) -> np.ndarray:
 
 
 def _propose(name, dist, good, bad, rng, candidates):
-    """The candidate drawn near the good values with the largest good/bad density ratio."""
+    """A candidate drawn near the good values with a large good/bad density ratio."""
     g = [t["params"][name] for t in good if name in t["params"]]
     b = [t["params"][name] for t in bad if name in t["params"]]
     if isinstance(dist, Choice):
         plain = lambda v: dist.options.index(v) if not isinstance(v, float) or v in dist.options else int(v)
         count = lambda vs: np.bincount([plain(v) for v in vs], minlength=len(dist.options)) + 1.0
         pg, pb = count(g) / (len(g) + len(dist.options)), count(b) / (len(b) + len(dist.options))
-        picks = rng.choice(len(dist.options), size=candidates, p=pg)
-        return dist.options[int(picks[np.argmax(pg[picks] / pb[picks])])]
+        # Drawn, not maximised: a maximum over few options would never leave the first winner.
+        odds = pg * pg / pb
+        return dist.options[int(rng.choice(len(dist.options), p=odds / odds.sum()))]
     lo, hi = dist.span
     if not g:
         return dist.draw(rng)
@@ -134,7 +135,7 @@ def _propose(name, dist, good, bad, rng, candidates):
     bx = np.array([dist.inward(v) for v in b])
     width = (hi - lo) / max(2.0, math.sqrt(len(gx) + 1.0))
     near = rng.choice(gx, size=candidates) + rng.normal(0.0, width, candidates)
-    u = np.clip(np.concatenate([near, rng.uniform(lo, hi, 2)]), lo, hi)
+    u = np.concatenate([near[(near >= lo) & (near <= hi)], rng.uniform(lo, hi, 2)])
     ratio = _log_density(gx, u, dist.span) - _log_density(bx, u, dist.span)
     return dist.outward(float(u[np.argmax(ratio)]))
 
