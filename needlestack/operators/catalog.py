@@ -26,7 +26,7 @@ def threshold_split(df: DataFrame, p: str, t: float = 0.5, ties: str = "drop",
 def truth_ids(new: DataFrame, candidates: DataFrame, not_in_cat: DataFrame) -> DataFrame:
     """Distinct true ids: new ones, candidates that no list contradicts, and the
     listed ones that are not marked constant."""
-    cat = candidates.select("id").join(not_in_cat.select("id"), "id", "left_anti")
+    cat = candidates.select("id").distinct().join(not_in_cat.select("id").distinct(), "id", "left_anti")
     noncat = not_in_cat.where(~F.col("line").contains(CONSTANT_MARKER)).select("id")
     return new.select("id").union(cat).union(noncat).distinct()
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 INF = float("inf")
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
 
 
 def order_splits(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from ..ship import ship
+
+
+def _shipped(f):
+    @wraps(f)
+    def run(spark, sf):
+        ship(spark)
+        return f(spark, sf)
+    return run
+
 
 def registry():
     """All queries and their SQL, by name."""
     from . import learning, ranking, relational
     queries, sql = {}, {}
     for module in (relational, ranking, learning):
-        queries.update(module.QUERIES)
+        queries.update({name: _shipped(f) for name, f in module.QUERIES.items()})
         sql.update(module.SQL)
     return queries, sql
