@@ -22,8 +22,9 @@ from ..learners.stacking import Stacking, stacked_columns
 from ..operators import metrics, prep, split, votes
 from ..plans import blind, evaluate, search, spaces
 from ..sources import materialize, scratch_path
-from .frames import FEATURES, SCORED_SQL, TEXT_FEATURES, docs, ff, scored, table
-from .relational import _catalogs, _scored_folds, r6
+from .frames import FEATURES, FF_SQL, SCORED_SQL, TEXT_FEATURES, docs, ff, scored, table
+from .relational import _SETS, _catalogs, _scored_folds, r6
+from .ranking import steps_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -499,3 +500,67 @@ def blind_scoring_lines(spark, sf):
     new, cand, nic = _catalogs(spark, sf)
     return blind.blind_scoring(blind.standard_pipeline(FEATURES, _logit("rare")), train, target, new,
                                cand, nic, "order_id", 0.5)
+
+
+@query(f"""WITH {FF_SQL}, {_SETS},
+sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY rare ORDER BY md5(concat('1:', row_id)), row_id)
+         <= round(count(*) OVER (PARTITION BY rare) * 0.25) THEN 1 ELSE 0 END AS test FROM ff),
+w AS (SELECT count(*) AS n, sum(rare) AS m FROM ff),
+md AS (SELECT median(price) AS med FROM sp WHERE test = 0),
+im AS (SELECT row_id, rare, test, coalesce(price, med) AS price FROM sp, md),
+mo AS (SELECT avg(price) AS mu, stddev_pop(price) AS sd FROM im WHERE test = 0),
+z AS (SELECT row_id, rare, test, (price - mu) / sd AS x FROM im, mo),
+data AS (SELECT 1 AS g, x, rare AS y, CASE WHEN rare = 1 THEN n / (2.0::DOUBLE * m)
+         ELSE n / (2.0::DOUBLE * (n - m)) END AS s FROM z, w WHERE test = 0),
+{newton_sql("g", "(1 / 1.29)")},
+sc AS (SELECT split_part(row_id, '-', 1) AS id, a + b * x AS margin FROM z, fitted),
+f AS (SELECT DISTINCT id FROM sc WHERE margin > 0), mi AS (SELECT DISTINCT id FROM sc WHERE margin < 0),
+c AS (SELECT (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM mi) AS nm,
+        (SELECT count(*) FROM f JOIN truth USING (id)) AS tp, (SELECT count(*) FROM mi JOIN truth USING (id)) AS fn,
+        (SELECT count(*) FROM f JOIN news USING (id)) AS new_found)
+SELECT new_found, nm - fn AS tn, nf - tp AS fp, fn, tp, round(tp / nullif(nf, 0), 6) AS precision,
+       round(tp / nullif(tp + fn, 0), 6) AS recall,
+       round(2 * tp / nullif(2 * tp + (nf - tp) + fn, 0), 6) AS f1 FROM c""")
+def blind_scoring_one_feature(spark, sf):
+    """Impute, scale, fit, score, threshold and match, with a fit that has one exact answer."""
+    df = _lines(spark, sf)
+    target = df.withColumn("order_id", F.split_part("row_id", F.lit("-"), F.lit(1)))
+    pipe = blind.standard_pipeline(["price"], _logit("rare", tol=1e-10))
+    out = blind.blind_scoring(pipe, df.where(F.col("split") == "train"), target,
+                              *_catalogs(spark, sf), "order_id", 0.5)
+    return out.drop("probe_found").withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""WITH {SCORED_SQL},
+rows AS (SELECT m AS g, rare AS y, s AS p FROM scored UNPIVOT (s FOR m IN (p_price, p_discount, p_tax))), {steps_sql()},
+a AS (SELECT g, sum(neg * (tp - pos / 2)) / max(n_pos) / max(n_neg) AS roc_auc,
+             sum(pos * tp / (tp + fp)) / max(n_pos) AS average_precision FROM st GROUP BY g),
+c AS (SELECT g, count(*) AS n, sum(CASE WHEN p > 0.5 AND y = 1 THEN 1 ELSE 0 END) AS tp,
+        sum(CASE WHEN p > 0.5 AND y = 0 THEN 1 ELSE 0 END) AS fp,
+        sum(CASE WHEN p <= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS fn FROM rows GROUP BY g)
+SELECT g AS model, round((n - fp - fn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision,
+  round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1,
+  round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM c JOIN a USING (g)""")
+def model_metric_table(spark, sf):
+    long = scored(spark, sf).unpivot(["row_id", "rare"], ["p_price", "p_discount", "p_tax"], "model", "p")
+    out = evaluate.compare_models(long, "rare")
+    return out.select("model", *[r6(c, c) for c in out.columns if c != "model"])
+
+
+@query("""SELECT event_id AS trial_id, round(value, 6) AS loss FROM events ORDER BY value, event_id LIMIT 1""")
+def best_trial(spark, sf):
+    trials = table(spark, sf, "events").select(F.col("event_id").alias("trial_id"), F.col("value").alias("loss"))
+    return search.best_trial(trials).select("trial_id", r6("loss", "loss"))
+
+
+@query(f"""WITH {SCORED_SQL}, m AS (SELECT var_samp(p_price) AS a, var_samp(p_discount) AS c,
+  covar_samp(p_price, p_discount) AS b FROM scored),
+e AS (SELECT (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1,
+             (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM m)
+SELECT 1 AS component, round(l1 / (l1 + l2), 6) AS ratio, round(l1 / (l1 + l2), 6) AS cumulative FROM e
+UNION ALL SELECT 2, round(l2 / (l1 + l2), 6), 1.0::DOUBLE FROM e""")
+def pca_two_columns(spark, sf):
+    data = prep.assemble(scored(spark, sf), ["p_price", "p_discount"])
+    model = prep.pca(2).fit(data)
+    return prep.explained_variance(model, spark).select(
+        "component", r6("ratio", "ratio"), r6("cumulative", "cumulative"))
