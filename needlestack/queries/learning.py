@@ -564,3 +564,50 @@ def pca_two_columns(spark, sf):
     model = prep.pca(2).fit(data)
     return prep.explained_variance(model, spark).select(
         "component", r6("ratio", "ratio"), r6("cumulative", "cumulative"))
+
+
+@query(f"""WITH {FF_SQL},
+fo AS (SELECT *, (row_number() OVER (PARTITION BY rare ORDER BY md5(concat('1:', row_id)), row_id) - 1) % 4 AS fold FROM ff),
+pairs AS (SELECT t.f, fo.* FROM fo, (SELECT unnest([0, 1, 2, 3]) AS f) t),
+w AS (SELECT count(*) AS n, sum(rare) AS m FROM ff),
+md AS (SELECT f, median(price) AS med FROM pairs WHERE fold <> f GROUP BY f),
+im AS (SELECT f, fold, rare, coalesce(price, med) AS price FROM pairs JOIN md USING (f)),
+mo AS (SELECT f, avg(price) AS mu, stddev_pop(price) AS sd FROM im WHERE fold <> f GROUP BY f),
+z AS (SELECT f, fold, rare, (price - mu) / sd AS x FROM im JOIN mo USING (f)),
+data AS (SELECT f, x, rare AS y, CASE WHEN rare = 1 THEN n / (2.0::DOUBLE * m)
+         ELSE n / (2.0::DOUBLE * (n - m)) END AS s FROM z, w WHERE fold <> f),
+{newton_sql("f", "(1 / 1.29)")},
+o AS (SELECT rare AS y, a + b * x > 0 AS z FROM z JOIN fitted USING (f) WHERE fold = f),
+c AS (SELECT sum(CASE WHEN y = 0 AND NOT z THEN 1 ELSE 0 END)::BIGINT AS tn,
+ sum(CASE WHEN y = 0 AND z THEN 1 ELSE 0 END)::BIGINT AS fp,
+ sum(CASE WHEN y = 1 AND NOT z THEN 1 ELSE 0 END)::BIGINT AS fn,
+ sum(CASE WHEN y = 1 AND z THEN 1 ELSE 0 END)::BIGINT AS tp FROM o)
+SELECT tn, fp, fn, tp, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
+def cv_pooled_one_feature(spark, sf):
+    """Out-of-fold predictions of a whole pipeline, refitted per fold, pooled into one F1."""
+    df = prep.class_weights(ff(spark, sf), "rare")
+    df = materialize(split.stratified_folds(df, "rare", "row_id", 4).drop("seed"), "cv")
+    pipe = blind.standard_pipeline(["price"], _logit("rare", tol=1e-10))
+    oof = evaluate.oof_predict(pipe, df, "fold", 4, "rare")
+    z = oof.withColumn("z", (F.col("p") > 0.5).cast("int"))
+    return metrics.prf(metrics.confusion(z, "rare", "z")).select("tn", "fp", "fn", "tp", r6("f1", "f1"))
+
+
+@query(f"""WITH {FF_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY md5(concat('1:', row_id)), row_id) AS r,
+             count(*) OVER (PARTITION BY rare) AS n FROM ff),
+h AS (SELECT *, r <= round(n * 0.5) AS second FROM o),
+md AS (SELECT median(price) AS med FROM h WHERE NOT second),
+im AS (SELECT row_id, rare, second, coalesce(price, med) AS price FROM h, md),
+mo AS (SELECT avg(price) AS mu, stddev_pop(price) AS sd FROM im WHERE NOT second),
+z AS (SELECT row_id, rare, second, (price - mu) / sd AS x FROM im, mo),
+data AS (SELECT 1 AS g, x, rare AS y, 1.0::DOUBLE AS s FROM z WHERE NOT second),
+{newton_sql("g", "(1 / 1.29)", 18)}
+SELECT count(*) AS n, sum(rare)::BIGINT AS positives, round(avg(1 / (1 + exp(-(a + b * x)))), 4) AS mean_base
+FROM z, fitted WHERE second""")
+def stacking_base_frame(spark, sf):
+    """The second half as the meta learner sees it: scores of a base fitted on the first half."""
+    base = blind.standard_pipeline(["price"], PenalisedLogistic(C=1.29, labelCol="rare", tol=1e-10))
+    _, stacked = Stacking([base], None, "rare", "row_id").fit_bases(ff(spark, sf))
+    return stacked.agg(F.count(F.lit(1)).alias("n"), F.sum("rare").alias("positives"),
+                       F.round(F.avg("base_0"), 4).alias("mean_base"))
