@@ -109,7 +109,8 @@ def _partition(t: DataFrame, q: DataFrame, need: int, cells: int):
     Both are written once, since several jobs read them. The driver sees a bounded
     number of pivots and a few numbers per cell.
     """
-    first = t.orderBy(F.xxhash64("vec"), "id").select("vec").limit(cells).collect()
+    # Distinct first, or many copies of one vector could take every pivot.
+    first = t.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(cells).collect()
     pivots = np.unique(np.array([r["vec"] for r in first], dtype=np.float64), axis=0)
     t = t.withColumn("c", _cell_udf(pivots)("vec")).select("*", "c.cell", "c.away").drop("c")
     t = materialize(t, "knn_train")
