@@ -7,7 +7,8 @@ from functools import wraps
 from ..ship import ship
 
 
-def _shipped(f):
+def shipped(f):
+    """The query, with the package sent to the executors first."""
     @wraps(f)
     def run(spark, sf):
         ship(spark)
@@ -20,6 +21,6 @@ def registry():
     from . import learning, ranking, relational
     queries, sql = {}, {}
     for module in (relational, ranking, learning):
-        queries.update({name: _shipped(f) for name, f in module.QUERIES.items()})
+        queries.update({name: shipped(f) for name, f in module.QUERIES.items()})
         sql.update(module.SQL)
     return queries, sql
