@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import encode_digests
+from .counts import count_tokens
 from .lines import LineIndex, drop_repeated
 from .mixing import mix
 
@@ -67,8 +69,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FR
 FROM keys GROUP BY doc_id
 """
 
+def op8_byte_bpe(spark, sf):
+    import public_tokenizers as tokenizers
+    out = encode_digests(documents(spark, sf, "doc_id", "text"),
+                         tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op9_token_counts(spark, sf):
+    import public_tokenizers as tokenizers
+    out = count_tokens(documents(spark, sf, "doc_id", "text"),
+                       tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op7_line_dedup": op7_line_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op7_line_dedup": OP7_SQL}
