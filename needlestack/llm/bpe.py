@@ -206,7 +206,7 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: the pattern cuts, the transducer encodes, frequent pieces are remembered."""
 
-    PIECES = 250_000
+    PIECES = 500_000
 
     def __init__(self, merges: Merges, pattern: str):
         self.transducer = Transducer(merges)
