@@ -8,6 +8,10 @@ from .bpe import encode_digests
 from .counts import count_tokens
 from .lines import LineIndex, drop_repeated
 from .mixing import mix
+from .pii import personal_digests
+from .quality import fit_cutoffs, judge, measure
+from .toxicity import THRESHOLD, held_out, score, train
+from ..sources.scratch import materialize
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -49,6 +53,17 @@ FROM p
 """
 
 
+def op3_personal_data(spark, sf):
+    return personal_digests(documents(spark, sf, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op5_quality_rules(spark, sf):
+    measured = materialize(measure(documents(spark, sf, "doc_id", "text", "lang")), "quality_counts")
+    cutoffs = fit_cutoffs(measured, spark.read.parquet(f"{sf}/labels.parquet"))
+    return judge(measured, cutoffs).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols",
+                                           "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_line_dedup(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
     out = drop_repeated(docs, LineIndex.build(docs))
@@ -83,10 +98,21 @@ def op9_token_counts(spark, sf):
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text")
+    weights = train(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out()), "toxic")
+    scored = score(docs, weights).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_personal_data": op3_personal_data,
+    "op5_quality_rules": op5_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op7_line_dedup": OP7_SQL}

@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import encode_digests
 from .lines import LineIndex, drop_repeated
 from .mixing import mix, take
+from .toxicity import THRESHOLD, held_out, score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the others stay as they are."""
+    weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()), "toxic")
+    return score(docs, weights).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +36,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("line_dedup", line_dedup),
     ("mixing", mixing),
     ("byte_bpe", byte_bpe),
