@@ -10,6 +10,7 @@ from .lines import LineIndex, drop_repeated
 from .mixing import mix
 from .pii import personal_digests
 from .quality import fit_cutoffs, judge, measure
+from .substrings import drop_repeats
 from .toxicity import THRESHOLD, held_out, score, train
 from ..sources.scratch import materialize
 
@@ -64,6 +65,11 @@ def op5_quality_rules(spark, sf):
                                            "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_repeated_passages(spark, sf):
+    out = drop_repeats(documents(spark, sf, "doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
     out = drop_repeated(docs, LineIndex.build(docs))
@@ -110,6 +116,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_personal_data": op3_personal_data,
     "op5_quality_rules": op5_quality_rules,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
