@@ -10,6 +10,7 @@ from .lines import LineIndex, drop_repeated
 from .mixing import mix
 from .pii import personal_digests
 from .quality import fit_cutoffs, judge, measure
+from .setjoin import similar_components
 from .substrings import drop_repeats
 from .toxicity import THRESHOLD, held_out, score, train
 from ..sources.scratch import materialize
@@ -58,6 +59,11 @@ def op3_personal_data(spark, sf):
     return personal_digests(documents(spark, sf, "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op4_jaccard_join(spark, sf):
+    return similar_components(documents(spark, sf, "doc_id", "text")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_quality_rules(spark, sf):
     measured = materialize(measure(documents(spark, sf, "doc_id", "text", "lang")), "quality_counts")
     cutoffs = fit_cutoffs(measured, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -115,6 +121,7 @@ def op10_toxicity(spark, sf):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_personal_data": op3_personal_data,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_line_dedup": op7_line_dedup,

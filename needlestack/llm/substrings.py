@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..sources.scratch import materialize
 from .bpe import _once
-from .text import U64, WordHashes, mixed, row_key, window_hashes, words_of
+from .text import WordHashes, bit_filter, mixed, passing, row_key, window_hashes, words_of
 
 WINDOW = 35
 SEED = 8
@@ -81,32 +81,13 @@ def _count_minimisers(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
 
 
-def _repeat_filter(counts: DataFrame, limit: int) -> np.ndarray:
-    """Bit set of the repeated minimisers, as 64-bit words; its size is bounded by `limit` bits."""
-    repeated = materialize(counts.where("n > 1").select("m"), "repeated_minimisers")
-    bits = 1 << 16
-    while bits < min(limit, 16 * repeated.count()):
-        bits *= 2
-    place = F.col("m").bitwiseAND(bits - 1)
-    words = repeated.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(m & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits >> 6, dtype=np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _passing(minimisers: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = minimisers & U64(len(bits) * 64 - 1)
-    return (bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) != 0
-
-
 def _travelling(text: str | None, bits: np.ndarray, window: int, seed: int) -> Iterator[tuple[int, int, bytes]]:
     """(minimiser, first window, packed words) of the super-k-mers of a text that may hold a repeat."""
     words = words_of(text)
     if len(words) < window:
         return
     minimisers, first, end = super_kmers(_hashes().of(words), window, seed)
-    for i in np.flatnonzero(_passing(minimisers, bits)).tolist():
+    for i in np.flatnonzero(passing(minimisers, bits)).tolist():
         yield int(minimisers[i].view(np.int64)), int(first[i]), b" ".join(words[first[i]:end[i] + window - 1])
 
 
@@ -258,7 +239,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"),
                        *row_key(F.col(id_col), text))
-    bits = _repeat_filter(_count_minimisers(rows, window, seed), filter_bits)
+    repeated = materialize(_count_minimisers(rows, window, seed).where("n > 1").select("m"), "repeated_minimisers")
+    bits = bit_filter(repeated, "m", filter_bits)
     held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     masks = _count_in_buckets(_packed(rows, held, window, seed), window, group_words)
     # A row that occurs twice has equal keys; its masks are the same, so one set of them serves both.

@@ -81,3 +81,26 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, k1, k2), whatever else the frame holds and however its columns are called."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.select("id", "text", *row_key("id", "text"))
+
+
+def bit_filter(values: DataFrame, column: str, limit: int) -> np.ndarray:
+    """Bit set of a long column's values, as 64-bit words for `passing`.
+
+    It has 16 bits a value, and never more than `limit` bits: with more values it lets more through,
+    but never stops one that is in it. Spark ors the words together.
+    """
+    bits = 1 << 16
+    while bits < min(limit, 16 * values.count()):
+        bits *= 2
+    place = F.col(column).bitwiseAND(bits - 1)
+    words = values.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def passing(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the unsigned values may be in the bit set."""
+    place = values & U64(len(bits) * 64 - 1)
+    return (bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) != 0
