@@ -39,10 +39,11 @@ from .text import U64, WordHashes, bit_filter, lower_words_of, passing, row_key,
 
 SHINGLE = 3
 THRESHOLD = (9, 10)
-FREQUENCY_BITS = 16
+#: Broadcast bits that tell shared shingles (16 MiB), and steps of commonness (1 MiB).
+SHARED_BITS = 27
+FREQUENCY_BITS = 20
 FILTER_BITS = 1 << 26
 PIVOT_ORDERS = 2
-LOW = (1 << 60) - 1
 
 _worker: dict = {}
 
@@ -92,51 +93,101 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("id", "k1", "k2", "text").mapInArrow(make, schema)
 
 
-def _commonness(rows: DataFrame, shingle: int) -> np.ndarray:
-    """How common the shingles of each hash bucket are, in steps over the mean; 0 up to about the mean.
+def _packed_tokens(rows: DataFrame, shingle: int, buckets: int) -> DataFrame:
+    """(bucket, tokens): the shingles of all sets, dealt by their leading bits, 32 further bits of each packed."""
+    shift = 64 - buckets.bit_length() + 1
 
-    Any order of shingles gives exact results. This one puts the hot ones last, where they index little.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _new_sets(batches, 0, shingle):
+            for part in range(0, len(sets), 2_000):
+                own = np.sort(np.concatenate([s for _, s, _ in sets[part:part + 2_000]]))
+                ends = np.searchsorted(own >> U64(shift), np.arange(buckets + 1, dtype=np.uint64))
+                low = ((own << U64(64 - shift)) >> U64(32)).astype("<u4")
+                full = np.flatnonzero(ends[1:] > ends[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full.astype(np.int32)),
+                     pa.array([low[ends[i]:ends[i + 1]].tobytes() for i in full], pa.binary())], names=["bucket", "tokens"])
+    return rows.select("text").mapInArrow(pack, "bucket int, tokens binary")
+
+
+def _frequencies(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, steps): a bit for every shingle hash that several sets hold, and how common shingles are.
+
+    Both have a fixed size and are read by a shingle's leading bits. `steps` grows with the logarithm of the
+    largest count among the shingles that fall together. A shingle without its bit is in one set only.
+    What falls together by chance only makes a shingle look more common than it is; any order is exact.
     """
-    shift = U64(64 - FREQUENCY_BITS)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 256
+    while buckets < min(4 * partitions, 1 << FREQUENCY_BITS):
+        buckets *= 2
+    lead = buckets.bit_length() - 1
+    share_bits, share_steps = SHARED_BITS - lead, FREQUENCY_BITS - lead
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
-        for sets in _new_sets(batches, 0, shingle):
-            if sets:
-                total += np.bincount((np.concatenate([s for _, s, _ in sets]) >> shift).astype(np.int64),
-                                     minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-    made = rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << FREQUENCY_BITS)
-    counts[made.column("bucket").to_numpy()] = made.column("n").to_numpy()
-    mean = max(1.0, counts.mean())
-    margin = (mean + 4 * np.sqrt(mean)) / mean
-    steps = np.floor(4 * np.log2(np.maximum(counts / mean / margin, 1.0))) + (counts > mean * margin)
-    return np.minimum(steps, 255).astype(np.uint8)
-
-
-def _index(rows: DataFrame, commonness: np.ndarray, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+        def settled(bucket: int, parts: list) -> tuple[int, bytes, bytes]:
+            own, n = np.unique(np.frombuffer(b"".join(parts), dtype="<u4"), return_counts=True)
+            own, n = own[n > 1], n[n > 1]
+            bits = np.zeros(1 << share_bits, dtype=np.uint8)
+            bits[own >> np.uint32(32 - share_bits)] = 1
+            steps = np.zeros(1 << share_steps, dtype=np.uint8)
+            np.maximum.at(steps, own >> np.uint32(32 - share_steps), (2 * np.log2(n)).astype(np.uint8))
+            return bucket, np.packbits(bits, bitorder="little").tobytes(), steps.tobytes()
+
+        def rows_of(made: list) -> pa.RecordBatch:
+            b, shared, steps = zip(*made)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(b, pa.int32()), pa.array(shared, pa.binary()), pa.array(steps, pa.binary())],
+                names=["bucket", "shared", "steps"])
+        current, parts = None, []
+        for batch in batches:
+            made = []
+            for bucket, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != current:
+                    if parts:
+                        made.append(settled(current, parts))
+                    current, parts = bucket, []
+                parts.append(tokens.as_py())
+            if made:
+                yield rows_of(made)
+        if parts:
+            yield rows_of([settled(current, parts)])
+    packed = _packed_tokens(rows, shingle, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    shared = np.zeros((buckets, (1 << share_bits) // 8), dtype=np.uint8)
+    steps = np.zeros((buckets, 1 << share_steps), dtype=np.uint8)
+    for row in packed.mapInArrow(count, "bucket int, shared binary, steps binary").toArrow().to_pylist():
+        shared[row["bucket"]] = np.frombuffer(row["shared"], dtype=np.uint8)
+        steps[row["bucket"]] = np.frombuffer(row["steps"], dtype=np.uint8)
+    return shared.reshape(-1), steps.reshape(-1)
+
+
+def _index(rows: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], shingle: int,
+           threshold: tuple[int, int]) -> DataFrame:
     """(token, d, n, pos, p, pn, ppos): the index lists with two sets or more, each entry with its list's pivot.
 
-    The pivot is the smallest key of a list, so that lists of one group of copies agree on it. A list is
-    read as a stream, whatever its length.
+    Shingles of one set alone come first in a prefix and need no list. The pivot is the smallest key of a
+    list, so that lists of one group of copies agree on it. A list is read as a stream, whatever its length.
     """
-    held = rows.sparkSession.sparkContext.broadcast(commonness.tobytes())
-    shift = U64(64 - FREQUENCY_BITS)
+    held = rows.sparkSession.sparkContext.broadcast(tuple(a.tobytes() for a in frequencies))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.frombuffer(held.value, dtype=np.uint8)
+        shared, steps = (np.frombuffer(x, dtype=np.uint8) for x in held.value)
         for sets in _new_sets(batches, 0, shingle):
-            tokens, keys, sizes, lengths = [], [], [], []
+            tokens, keys, sizes, lengths, before = [], [], [], [], []
             for key, own, _ in sets:
-                # Sets are sorted by hash; a stable sort by commonness keeps that order inside a step.
-                order = np.argsort(common[(own >> shift).astype(np.int64)], kind="stable")
-                first = own[order[:prefix_size(len(own), threshold)]]
-                tokens.append(first), keys.append(key), sizes.append(len(own)), lengths.append(len(first))
-            if sets:
+                place = (own >> U64(64 - SHARED_BITS)).astype(np.int64)
+                several = own[(shared[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0]
+                alone = len(own) - len(several)
+                room = prefix_size(len(own), threshold) - alone
+                if room > 0:
+                    # Sets are sorted by hash; a stable sort by commonness keeps that order inside a step.
+                    order = np.argsort(steps[(several >> U64(64 - FREQUENCY_BITS)).astype(np.int64)], kind="stable")
+                    first = several[order[:room]]
+                    tokens.append(first), keys.append(key), sizes.append(len(own))
+                    lengths.append(len(first)), before.append(alone)
+            if keys:
                 owner = np.repeat(np.arange(len(keys)), lengths)
-                place = np.concatenate([np.arange(k) for k in lengths])
+                place = np.concatenate([np.arange(k) for k in lengths]) + np.array(before)[owner]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(owner)),
                      pa.array((np.array(sizes)[owner] << 32) | place)], names=["token", "d", "at"])
@@ -176,27 +227,21 @@ def _may_link(n: str, pos: str, m: str, mpos: str, threshold: tuple[int, int]):
     return sizes & (F.least(a - i, b - j) * (num + den) >= (a + b) * num)
 
 
-def _compare(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(a, b, same, n, m): exact intersection size of the sets of each pair of keys. Written once."""
     pairs = materialize(pairs, "set_pairs")
     needed = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    # The last 60 bits of a key are as good as any hash of it.
-    low = F.conv(F.substring(F.hex("d"), 18, 15), 16, 10).cast("long")
-    held = rows.sparkSession.sparkContext.broadcast(
-        bit_filter(needed.select(low.alias("low")), "low", FILTER_BITS).tobytes())
+    needed = materialize(needed.join(reps, "d"), "set_rows")
+    held = rows.sparkSession.sparkContext.broadcast(bit_filter(needed, "k1", FILTER_BITS).tobytes())
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, dtype=np.uint64)
-        for sets in _new_sets(batches, 0, shingle):
-            if sets:
-                pick = passing(np.array([int.from_bytes(k[8:], "big") & LOW for k, _, _ in sets], dtype=np.uint64), bits)
-                sets = [s for s, ok in zip(sets, pick) if ok]
-            if sets:
-                keys, _, texts = zip(*sets)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())],
-                                                 names=["d", "text"])
-    texts = rows.select("text").mapInArrow(fetch, "d binary, text string").groupBy("d").agg(F.first("text").alias("text"))
-    texts = materialize(texts.join(needed, "d", "left_semi"), "set_texts")
+        for batch in batches:
+            pick = np.flatnonzero(passing(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield batch.take(pa.array(pick))
+    texts = rows.select("k1", "k2", "text").mapInArrow(fetch, "k1 long, k2 long, text string")
+    texts = texts.join(needed, ["k1", "k2"]).dropDuplicates(["d"]).select("d", "text")
+    texts = materialize(texts, "set_texts")
     both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -256,11 +301,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), text))
     num, den = threshold
     sets = materialize(_sets(rows, shingle), "sets")
-    index = materialize(_index(rows, _commonness(rows, shingle), shingle, threshold), "set_index")
+    reps = materialize(sets.where("d IS NOT NULL").groupBy("d").agg(F.min(F.struct("k1", "k2")).alias("r")).select(
+        "d", "r.k1", "r.k2"), "set_reps")       # the row that a set's text is read from
+    index = materialize(_index(rows, _frequencies(rows, shingle), shingle, threshold), "set_index")
 
     may = partial(_may_link, threshold=threshold)
     first = index.where((F.col("d") != F.col("p")) & may("n", "pos", "pn", "ppos"))
-    known = _compare(rows, first.select(*_ordered("d", "p")).distinct(), shingle)
+    known = _compare(rows, reps, first.select(*_ordered("d", "p")).distinct(), shingle)
     roots = _merge(None, known.where(_linked(threshold)).select("a", "b"))
 
     for order in range(1, PIVOT_ORDERS):
@@ -271,7 +318,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                    F.col("q.pos").alias("qpos"))
         pairs = pairs.where((F.col("c") != F.col("q.c")) & may("n", "pos", "qn", "qpos"))
         pairs = pairs.select(*_ordered("d", "qd")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        more = _compare(rows, pairs, shingle)
+        more = _compare(rows, reps, pairs, shingle)
         known = known.unionByName(more)
         roots = _merge(roots, more.where(_linked(threshold)).select("a", "b"))
 
@@ -291,7 +338,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         & may("n", "pos", "s_n", "s_pos")
         & F.coalesce(F.abs(F.col("j") - F.col("s_j")) <= 1 - num / den + 1e-9, F.lit(True)))
     pairs = pairs.select(*_ordered("d", "s_d")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = _compare(rows, pairs, shingle)
+    more = _compare(rows, reps, pairs, shingle)
     roots = _merge(roots, more.where(_linked(threshold)).select("a", "b"))
 
     # Smallest ids: by set first, then by component, so that no group is ever gathered.
