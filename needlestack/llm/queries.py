@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import encode_digests
 from .counts import count_tokens
+from .fingerprint import containment, edited, fingerprints, likeness, printed, sketch, with_next
 from .lines import LineIndex, drop_repeated
 from .mixing import mix
 from .pii import personal_digests
@@ -55,6 +56,20 @@ FROM p
 """
 
 
+def op2_fingerprints(spark, sf):
+    own = fingerprints(documents(spark, sf, "doc_id", "text"))
+    rows = with_next(own, ["text", "sketch"], ["id", "text"])
+    rows = rows.select("id", "n_chars", "sketch", "next_sketch",
+                       edited(F.col("text"), F.col("n_chars"), F.col("next_text")).alias("edited"))
+    rows = rows.select("*", sketch(F.col("edited")).alias("edited_sketch"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"))
+
+
 def op3_personal_data(spark, sf):
     return personal_digests(documents(spark, sf, "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -120,6 +135,7 @@ def op10_toxicity(spark, sf):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_fingerprints": op2_fingerprints,
     "op3_personal_data": op3_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,

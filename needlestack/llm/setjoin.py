@@ -165,8 +165,9 @@ def _index(rows: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], shingle:
            threshold: tuple[int, int]) -> DataFrame:
     """(token, d, n, pos, p, pn, ppos): the index lists with two sets or more, each entry with its list's pivot.
 
-    Shingles of one set alone come first in a prefix and need no list. The pivot is the smallest key of a
-    list, so that lists of one group of copies agree on it. A list is read as a stream, whatever its length.
+    Shingles of one set alone come first in a prefix and need no list. The pivot is the entry with the lowest
+    place: it has the fewest shingles of its own, so among edited copies it is close to the original, and the
+    lists of one group of copies agree on it. A list is read as a stream, whatever its length.
     """
     held = rows.sparkSession.sparkContext.broadcast(tuple(a.tobytes() for a in frequencies))
 
@@ -190,7 +191,7 @@ def _index(rows: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], shingle:
                 place = np.concatenate([np.arange(k) for k in lengths]) + np.array(before)[owner]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(owner)),
-                     pa.array((np.array(sizes)[owner] << 32) | place)], names=["token", "d", "at"])
+                     pa.array((place << 32) | np.array(sizes)[owner])], names=["token", "d", "at"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, alone = (None, None, 0), False
@@ -211,11 +212,11 @@ def _index(rows: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], shingle:
                 own, led = [list(x) for x in zip(*(r for r, _ in out))], [list(x) for x in zip(*(p for _, p in out))]
                 at, pat = np.array(own[2]), np.array(led[2])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[0], pa.int64()), pa.array(own[1], pa.binary()), pa.array(at >> 32),
-                     pa.array(at & 0xFFFFFFFF), pa.array(led[1], pa.binary()), pa.array(pat >> 32),
-                     pa.array(pat & 0xFFFFFFFF)], names=["token", "d", "n", "pos", "p", "pn", "ppos"])
+                    [pa.array(own[0], pa.int64()), pa.array(own[1], pa.binary()), pa.array(at & 0xFFFFFFFF),
+                     pa.array(at >> 32), pa.array(led[1], pa.binary()), pa.array(pat & 0xFFFFFFFF),
+                     pa.array(pat >> 32)], names=["token", "d", "n", "pos", "p", "pn", "ppos"])
     posted = rows.select("text").mapInArrow(post, "token long, d binary, at long")
-    return posted.repartition("token").sortWithinPartitions("token", "d").mapInArrow(
+    return posted.repartition("token").sortWithinPartitions("token", "at", "d").mapInArrow(
         pair, "token long, d binary, n long, pos long, p binary, pn long, ppos long")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import encode_digests
 from .lines import LineIndex, drop_repeated
 from .mixing import mix, take
+from .setjoin import similar_components
+from .text import row_key
 from .toxicity import THRESHOLD, held_out, score, train
 
 
@@ -23,6 +25,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one of smallest id.
+
+    Documents without words, and rows without an id, all stay.
+    """
+    found = similar_components(docs, shingle=5, threshold=(4, 5))
+    free = (F.col("n_shingles") == 0) | F.col("id").isNull()
+    kept = found.where(~free & (F.col("id") == F.col("component_id"))).groupBy("component_id").agg(
+        F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2", F.lit(True).alias("once"))
+    kept = kept.unionByName(found.where(free).select("k1", "k2", F.lit(False).alias("once")).distinct())
+    key = row_key(F.col("doc_id"), F.col("text").cast("string"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, *key).join(kept, ["k1", "k2"])
+    # Rows that repeat share a key: one of them stays, unless they are of those that all stay.
+    again = F.when(F.col("once"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
+    return out.withColumn("again", again).dropDuplicates(["k1", "k2", "again"]).select("row.*")
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for."""
     return take(docs, mix(docs))
@@ -38,6 +58,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
     ("mixing", mixing),
     ("byte_bpe", byte_bpe),
 ]
