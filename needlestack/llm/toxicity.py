@@ -48,7 +48,7 @@ def coordinates(text: str | None, hashes: WordHashes, bits: int = BITS) -> np.nd
 class Ftrl:
     """Follow the regularised leader, proximal: per-coordinate rates, L1 and L2."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
