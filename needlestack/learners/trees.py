@@ -20,9 +20,10 @@ TREE_NAMES = {
 FOREST_NAMES = {**TREE_NAMES, "n_estimators": "numTrees", "subsample": "subsamplingRate"}
 BOOST_NAMES = {
     **{k: v for k, v in FOREST_NAMES.items() if k != "criterion"}, "n_estimators": "maxIter",
-    "learning_rate": "stepSize", "gamma": "minInfoGain", "min_child_weight": "minWeightFractionPerNode",
+    "learning_rate": "stepSize", "min_child_weight": "minWeightFractionPerNode",
 }
-NOT_MAPPED = ["reg_alpha", "reg_lambda", "max_delta_step", "min_samples_split", "colsample_bytree"]
+# gamma is a gain of another scale than minInfoGain: copied over, it would leave trees of one node.
+NOT_MAPPED = ["gamma", "reg_alpha", "reg_lambda", "max_delta_step", "min_samples_split", "colsample_bytree"]
 WEIGHT_NAMES = ["scale_pos_weight", "class_weight"]
 MAX_DEPTH = 30
 
@@ -31,7 +32,9 @@ def _translate(params: Mapping, names: Mapping, n_rows: int | None) -> dict:
     out = {}
     for k, v in params.items():
         if k in ("max_features", "colsample_bylevel"):
-            out["featureSubsetStrategy"] = str(v)
+            # Parameters from a trial table come back as doubles: whole numbers count features.
+            whole = isinstance(v, float) and v >= 1 and v.is_integer()
+            out["featureSubsetStrategy"] = str(int(v) if whole else v)
         elif k in names:
             out[names[k]] = v
         elif k in NOT_MAPPED:
@@ -43,12 +46,17 @@ def _translate(params: Mapping, names: Mapping, n_rows: int | None) -> dict:
     for k in ("maxDepth", "maxIter", "numTrees", "minInstancesPerNode"):
         if k in out:
             out[k] = int(out[k])
-    if "maxDepth" in out:
-        out["maxDepth"] = min(MAX_DEPTH, out["maxDepth"])
+    if out.get("maxDepth", 0) > MAX_DEPTH:
+        raise ValueError(f"max_depth {out['maxDepth']}: Spark's trees go down to {MAX_DEPTH}")
     if "min_child_weight" in params and "min_child_weight" in names:
         # A hessian sum per leaf becomes a share of the training weight.
-        share = params["min_child_weight"] / n_rows if n_rows else 0.0
-        out["minWeightFractionPerNode"] = min(0.49, max(0.0, share))
+        weight = params["min_child_weight"]
+        if weight and not n_rows:
+            raise ValueError("min_child_weight needs n_rows, the number of training rows it is a share of")
+        share = weight / n_rows if weight else 0.0
+        if not 0 <= share < 0.5:
+            raise ValueError(f"min_child_weight {weight} is {share:.2f} of the training weight; it must be below 0.5")
+        out["minWeightFractionPerNode"] = share
     return out
 
 

@@ -207,6 +207,9 @@ def oversample(df: DataFrame, label: str, id_col: str, cols: Sequence[str], rati
     counts = df.agg(F.count_if(F.col(label) == 1).alias("m"),
                     F.count_if(F.col(label) == 0).alias("n")).first()
     m, need = counts["m"], int(ratio * counts["n"]) - counts["m"]
+    if m < 2 and need > 0:
+        raise ValueError("new rows lie between two minority rows; there are fewer than two")
+    k = max(1, min(k, m - 1))
     minority = df.where(F.col(label) == 1).select(F.col(id_col).alias("id"), *cols)
     theirs = [f"their_{c}" for c in cols]
     vec = minority.select("id", F.array(*cols).alias("vec"),

@@ -44,6 +44,16 @@ def with_bucket(df: DataFrame, key: str, splits: Sequence[float], out: str = "bu
     return bins.transform(df.withColumn("__key", F.col(key).cast("double"))).drop("__key")
 
 
+def join_groups(rows: DataFrame, table: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
+    """Inner join to a table of one row per (by, bucket), in which a NULL group is a group as well."""
+    named = {c: f"__j{i}" for i, c in enumerate([*by, bucket])}
+    table = table.withColumnsRenamed(named)
+    match = F.col(bucket) == F.col(named[bucket])
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(named[c]))
+    return rows.join(table, match).drop(*named.values())
+
+
 def running(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str] = (),
             mins: Sequence[str] = (), bucket: str = "bucket",
             descending: bool = False) -> DataFrame:
@@ -77,7 +87,7 @@ def running(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str] = ()
         **{f"__r_{c}": F.sum(c).over(inside) for c in sums},
         **{f"__n_{c}": F.min(c).over(inside) for c in mins},
     })
-    joined = ranked.join(offsets, on=[*by, bucket])
+    joined = join_groups(ranked, offsets, by, bucket)
     return joined.select(
         *df.columns,
         *[(F.col(f"__r_{c}") + F.col(f"__o_{c}")).alias(f"run_{c}") for c in sums],
@@ -106,7 +116,6 @@ def hashed_ordinal(df: DataFrame, by: Sequence[str], id_col: str, seed_col: str,
                 F.sum("__n").over(Window.partitionBy(*by)).alias(size))
     )
     return (
-        keyed.withColumn("__r", F.row_number().over(inside))
-        .join(offsets, on=[*by, "__b"])
+        join_groups(keyed.withColumn("__r", F.row_number().over(inside)), offsets, by, "__b")
         .select(*df.columns, (F.col("__r") + F.col("__o")).cast("long").alias(out), size)
     )

@@ -52,14 +52,17 @@ def rank_average(df: DataFrame, id_col: str, cols: Sequence[str], out: str = "ra
 
     The models are stacked into one long frame, so ranking costs the same number of
     shuffles for any number of them. A score shared by many rows is joined by broadcast.
+    A missing score ranks lowest: it adds 0, and the row stays.
     """
     long = df.select(id_col, *cols).unpivot([id_col], list(cols), "model", "score")
+    absent = long.where(F.col("score").isNull()).withColumn("rank0", F.lit(0).cast("long"))
     long = long.where(F.col("score").isNotNull())
     # Ranks and sums are each read twice, so they are written once.
     ranks = materialize(
         min_ranks(long.select("model", "score"), ["model"], "score", rows_per_bucket), "ranks")
     ranked = join_counted(long, ranks, ["model", "score"],
                           F.col("n") * HOT_SHARE >= F.col("group_n"), ["rank0"])
+    ranked = ranked.select(id_col, "rank0").unionByName(absent.select(id_col, "rank0"))
     sums = materialize(ranked.groupBy(id_col).agg(F.sum("rank0").alias("__s")), "rank_sums")
     top = sums.agg(F.max("__s").alias("m"))
     return sums.select(id_col, F.try_divide(F.col("__s").cast("double"), top.scalar()).alias(out))

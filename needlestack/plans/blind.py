@@ -48,7 +48,16 @@ def match_result_file(spark, result_path: str, new: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("new_found"))
 
 
-def tune_refit(make: Callable[[Mapping], object], trials: DataFrame, train: DataFrame):
-    """Refit the best parameter set of a trial table on all labelled rows."""
+def tune_refit(make: Callable[[Mapping], object], trials: DataFrame, train: DataFrame,
+               growth: float = 1.25):
+    """Refit the best parameter set of a trial table on all labelled rows.
+
+    A round count that early stopping attached as best_n becomes n_estimators, `growth` times
+    as many: the refit has more rows than a fold had.
+    """
     best = best_trial(trials).first()
-    return make({**best["params"], **best["attachments"]}).fit(train)
+    attached = dict(best["attachments"])
+    params = {**best["params"], **{k: v for k, v in attached.items() if k != "best_n"}}
+    if "best_n" in attached:
+        params["n_estimators"] = int(growth * float(attached["best_n"]))
+    return make(params).fit(train)

@@ -75,8 +75,10 @@ scored AS (
 TEXT_FEATURES = ["n_chars", "words", "distinct_share", "punct_share", "lines", "upper_share"]
 
 
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents as text statistics over whole texts; the rare class is quality = 0."""
+def docs(spark: SparkSession, sf: str, how: str = "inner") -> DataFrame:
+    """Labelled documents as text statistics over whole texts; the rare class is quality = 0.
+
+    With how="left" all documents, y and toxic missing where there is no label."""
     d = table(spark, sf, "documents")
     lab = table(spark, sf, "labels")
     text = F.col("text")
@@ -91,4 +93,4 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
         (F.length(F.regexp_replace(text, r"[^\n]", "")) + 1.0).alias("lines"),
         (F.length(F.regexp_replace(text, r"[^A-Z]", "")) / n).alias("upper_share"),
     )
-    return stats.join(lab.select("doc_id", (1 - F.col("quality")).alias("y"), "toxic"), "doc_id")
+    return stats.join(lab.select("doc_id", (1 - F.col("quality")).alias("y"), "toxic"), "doc_id", how)

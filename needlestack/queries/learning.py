@@ -479,16 +479,19 @@ def saved_model_scores(spark, sf):
 
 @query()
 def blind_scoring(spark, sf):
-    """Fit on labelled documents, score all documents, match ids with the label table."""
-    df = docs(spark, sf)
-    lab = table(spark, sf, "labels")
-    train = materialize(prep.class_weights(df.select("doc_id", "y", *TEXT_FEATURES), "y"), "train")
+    """Fit on half of the labelled documents, score all documents, match ids with the other labels."""
+    df = materialize(docs(spark, sf, "left").select("doc_id", "y", *TEXT_FEATURES), "blind_documents")
+    seen = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    lab = table(spark, sf, "labels").where(~seen)
+    train = df.where(F.col("y").isNotNull() & seen)
+    train = materialize(prep.class_weights(train, "y"), "train")
+    target = df.drop("y")
     text = F.col("doc_id").cast("string").alias("id")
     new = lab.where(F.col("quality") == 0).select(text)
     cand = lab.where(F.col("toxic") == 1).select(text)
     nic = lab.where(F.col("toxic") == 1).select(
         text, F.when(F.col("quality") == 0, "VAR").otherwise("CST").alias("line"))
-    return blind.blind_scoring(_on_docs(_logit()), train, train, new, cand, nic, "doc_id", 0.5)
+    return blind.blind_scoring(_on_docs(_logit()), train, target, new, cand, nic, "doc_id", 0.5)
 
 
 @query()

@@ -265,8 +265,8 @@ def missing_audit(spark, sf):
 def finite_minimum(spark, sf):
     f = ff(spark, sf).select(F.coalesce("price", F.lit(float("-inf"))).alias("price"),
                              (F.col("quantity") - 20).alias("quantity"))
-    return f.agg(F.min(F.when(finite("price"), F.col("price"))).alias("price_min"),
-                 F.min(F.when(finite("quantity"), F.col("quantity"))).alias("quantity_min"))
+    return spark.createDataFrame([(finite_min(f, "price"), finite_min(f, "quantity"))],
+                                 "price_min double, quantity_min double")
 
 
 @query(f"""

@@ -18,8 +18,9 @@ def read_stat_table(spark: SparkSession, path: str, names: Sequence[str] = STAT_
     Infinities, NaN and unreadable numbers become NULL. Splitting text is per-row
     work, so write the result to parquet once and query that.
     """
-    parts = F.split(F.trim("value"), r"\s+")
-    fields = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(parts.alias("f"))
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    parts = F.split(line, r"\s+")
+    fields = spark.read.text(path).where(F.length(line) > 0).select(parts.alias("f"))
     out = []
     for i, name in enumerate(names):
         raw = F.get("f", F.lit(i))
