@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 BOS = -1
+NEVER = 1 << 62
 BYTES = [bytes((b,)) for b in range(256)]
 
 
@@ -44,14 +45,17 @@ class Merges:
         for t, i in ranks.items():
             self.table[t] = (i, t in self.table)
         self.known_fits: dict[tuple[int, int], bool] = {}
+        self.known_steps: dict[int, list | None] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Merges:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
-    def plain(self, data: bytes) -> list[int]:
-        """Merge the pair of lowest rank until none is left. Quadratic: for pairs of tokens only."""
+    def plain(self, data: bytes, steps: list | None = None) -> list[int]:
+        """Merge the pair of lowest rank until none is left. Quadratic: for single tokens and in tests.
+
+        `steps` gets the first part, the rank of the merge that follows and the last part, before each merge."""
         if not data:
             return []
         parts = [data[i:i + 1] for i in range(len(data))]
@@ -63,26 +67,53 @@ class Merges:
                     best, at = rank, i
             if best is None:
                 break
+            if steps is not None:
+                steps.append((parts[0], best, parts[-1]))
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
     def pair_rank(self, left: bytes, right: bytes) -> int | None:
         return self.ranks.get(left + right)
 
+    def steps(self, token: int) -> list[tuple[bytes, int, bytes]] | None:
+        """How a token grows from its bytes; None if its bytes are encoded otherwise. At most one entry a token."""
+        if token not in self.known_steps:
+            data, steps = self.by_id[token], []
+            whole = self.plain(data, steps) == [token]
+            self.known_steps[token] = steps + [(data, NEVER, data)] if whole else None
+        return self.known_steps[token]
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are the encoding of their bytes. Remembered in `known_fits`.
 
-        At the start of a piece (left is BOS) the token must encode its own bytes."""
+        At the start of a piece (left is BOS) the token must encode its own bytes. Otherwise both grow as they do
+        alone, lowest rank first, until a merge across the boundary comes before the next merge of either."""
         if len(self.known_fits) > self.FITS:
             self.known_fits.clear()
-        if left == BOS:
-            got = self.plain(self.by_id[right]) == [right]
-        else:
-            got = (self.fits_known(BOS, right)
-                   and self.plain(self.by_id[left] + self.by_id[right]) == [left, right])
+        b = self.steps(right)
+        got = b is not None
+        if got and left != BOS:
+            a = self.steps(left)
+            got = a is not None and not self._meet(a, b)
         self.known_fits[left, right] = got
         return got
 
+    def _meet(self, a: list, b: list) -> bool:
+        """Whether a merge across the boundary happens. Of equal ranks the leftmost pair merges first."""
+        i = j = 0
+        while True:
+            _, rank_a, end = a[i]
+            start, rank_b, _ = b[j]
+            cross = self.pair_rank(end, start)
+            if cross is not None and cross < rank_a and cross <= rank_b:
+                return True
+            if rank_a == rank_b == NEVER:
+                return False
+            if rank_a <= rank_b:
+                i += 1
+            else:
+                j += 1
+
     def fits_known(self, left: int, right: int) -> bool:
         got = self.known_fits.get((left, right))
         return self.fits(left, right) if got is None else got

@@ -296,3 +296,15 @@ def test_pipeline(spark, sf):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert list(out.columns) == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and len(out) > 0
+
+
+@pytest.mark.parametrize("make", [lambda: bpe.Merges.from_file(tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+                                  lambda: counts.PairMerges.from_json(tokenizers.path("byte_bpe_50k.json"))[0]])
+def test_token_pairs_fit_as_plain_merging_has_it(make):
+    merges, rng = make(), np.random.default_rng(3)
+    ids = list(merges.by_id)
+    for left, right in rng.choice(ids, (5_000, 2)).tolist():
+        alone = merges.plain(merges.by_id[right]) == [right]
+        assert merges.fits(bpe.BOS, right) == alone
+        joined = merges.plain(merges.by_id[left] + merges.by_id[right])
+        assert merges.fits(left, right) == (alone and joined == [left, right])
