@@ -39,11 +39,22 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.by_id = {i: t for t, i in ranks.items()}
-        # Every prefix of a token: its id if it is one itself, and whether a longer token begins with it.
-        self.table: dict[bytes, tuple[int | None, bool]] = {
-            t[:i]: (None, True) for t in ranks for i in range(1, len(t))}
+        # A node for every prefix of a token (0: no byte yet), its children by node and byte, its own id
+        # if it is a token itself (else BOS), and whether a longer token begins with it.
+        self.child: dict[int, int] = {}
+        self.own: list[int] = [BOS]
+        self.grows: list[bool] = [True]
         for t, i in ranks.items():
-            self.table[t] = (i, t in self.table)
+            node = 0
+            for byte in t:
+                self.grows[node] = True
+                key = node << 8 | byte
+                node = self.child.get(key)
+                if node is None:
+                    node = self.child[key] = len(self.own)
+                    self.own.append(BOS)
+                    self.grows.append(False)
+            self.own[node] = i
         self.known_fits: dict[tuple[int, int], bool] = {}
         self.known_steps: dict[int, list | None] = {}
 
@@ -149,64 +160,71 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        # A state is the last certain token, the bytes after it, where the last token of each of their
-        # prefixes starts, and the boundaries from which a token may still grow.
-        self.states: list[tuple[int, bytes, tuple[int, ...], list[int]]] = [(BOS, b"", (0,), [0])]
+        # A state is the bytes after the last certain token; for each of their prefixes, where its last token
+        # starts and which it is (for the empty one, the certain token); and the boundaries from which a token
+        # may still grow, with the nodes it has come to.
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = [
+            (b"", (0,), (BOS,), (0,), (0,))]
+        # States that follow a token by what they are; others have one way to them from one of these.
         self.numbers: dict[tuple[int, bytes], int] = {(BOS, b""): 0}
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def _tokens(self, tail: bytes, starts: tuple[int, ...], end: int) -> list[int]:
-        """The encoding of tail[:end], read backwards along the last tokens."""
+    @staticmethod
+    def _tokens(starts: tuple[int, ...], last: tuple[int, ...], end: int) -> list[int]:
+        """The encoding up to a boundary, read backwards along the last tokens."""
         out = []
         while end:
-            begin = starts[end]
-            out.append(self.merges.ranks[tail[begin:end]])
-            end = begin
+            out.append(last[end])
+            end = starts[end]
         return out[::-1]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         m = self.merges
-        ranks, table, known_fits = m.ranks, m.table, m.known_fits
-        context, tail, starts, before_alive = self.states[state]
+        child, own, grows, known_fits = m.child, m.own, m.grows, m.known_fits
+        tail, starts, last, before_alive, before_nodes = self.states[state]
         tail += BYTES[byte]
         n = len(tail)
-        alive, begin = [], -1
-        for s in before_alive:
-            found = table.get(tail[s:])
-            if found is None:
+        alive, nodes, begin = [], [], -1
+        for s, node in zip(before_alive, before_nodes):
+            node = child.get(node << 8 | byte)
+            if node is None:
                 continue
-            token, grows = found
-            if grows:
+            if grows[node]:
                 alive.append(s)
-            if begin < 0 and token is not None:
-                left = ranks[tail[starts[s]:s]] if s else context
-                fit = known_fits.get((left, token))
-                if fit or fit is None and m.fits(left, token):
-                    begin = s
+                nodes.append(node)
+            if begin < 0:
+                token = own[node]
+                if token >= 0:
+                    left = last[s]
+                    fit = known_fits.get((left, token))
+                    if fit or fit is None and m.fits(left, token):
+                        begin = s
+                        last += (token,)
         if begin < 0:
             raise ValueError("the vocabulary lacks single bytes")
         starts += (begin,)
         alive.append(n)
-        emitted = ()
-        if alive[0]:
+        nodes.append(0)
+        cut = alive[0]
+        if cut:
             # Their encodings agree up to the boundary where the paths of last tokens meet.
-            cut = alive[0]
             for s in alive:
                 while s != cut:
                     if s > cut:
                         s = starts[s]
                     else:
                         cut = starts[cut]
-            if cut:
-                emitted = tuple(self._tokens(tail, starts, cut))
-                context, tail = emitted[-1], tail[cut:]
-                starts = (0, *[s - cut for s in starts[cut + 1:]])
-                alive = [s - cut for s in alive]
-        key = (context, tail)
+        if not cut:
+            self.states.append((tail, starts, last, (*alive,), (*nodes,)))
+            return len(self.states) - 1, ()
+        emitted = tuple(self._tokens(starts, last, cut))
+        tail, last = tail[cut:], last[cut:]
+        key = (last[0], tail)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
-            self.states.append((context, tail, starts, alive))
+            starts = (0, *[s - cut for s in starts[cut + 1:]])
+            self.states.append((tail, starts, last, (*[s - cut for s in alive],), (*nodes,)))
         return number, emitted
 
     def encode(self, piece: bytes) -> list[int]:
@@ -222,7 +240,7 @@ class Transducer:
                 if len(self.states) > 2 * self.MAX_STATES:      # inside a very long piece: keep this state alone
                     held = self.states[state]
                     self._forget()
-                    state = self.numbers.setdefault(held[:2], len(self.states))
+                    state = self.numbers.setdefault((held[2][0], held[0]), len(self.states))
                     if state == len(self.states):
                         self.states.append(held)
                     key = state << 8 | byte
@@ -230,8 +248,8 @@ class Transducer:
             state, emitted = got
             if emitted:
                 out += emitted
-        _, tail, starts, _ = self.states[state]
-        return out + self._tokens(tail, starts, len(tail))
+        tail, starts, last, _, _ = self.states[state]
+        return out + self._tokens(starts, last, len(tail))
 
 
 class Encoder:

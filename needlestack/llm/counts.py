@@ -69,26 +69,27 @@ class PrefixCounter:
     def piece_counts(self, piece: bytes) -> list[int]:
         """Tokens of piece[:i] for every i from 0 on."""
         m = self.merges
-        table, known_fits = m.table, m.known_fits
-        last, count, alive = [BOS], [0], [0]
-        for n in range(1, len(piece) + 1):
+        child, own, grows, known_fits = m.child, m.own, m.grows, m.known_fits
+        last, count, alive = [BOS], [0], [(0, 0)]       # alive: where a token may still grow, and its node so far
+        for n, byte in enumerate(piece, 1):
             growing, best = [], -1
-            for s in alive:
-                found = table.get(piece[s:n])
-                if found is None:
+            for s, node in alive:
+                node = child.get(node << 8 | byte)
+                if node is None:
                     continue
-                token, grows = found
-                if grows:
-                    growing.append(s)
-                if best < 0 and token is not None:
-                    fit = known_fits.get((last[s], token))
-                    if fit or fit is None and m.fits(last[s], token):
-                        best = s
-                        last.append(token)
-                        count.append(count[s] + 1)
+                if grows[node]:
+                    growing.append((s, node))
+                if best < 0:
+                    token = own[node]
+                    if token >= 0:
+                        fit = known_fits.get((last[s], token))
+                        if fit or fit is None and m.fits(last[s], token):
+                            best = s
+                            last.append(token)
+                            count.append(count[s] + 1)
             if best < 0:
                 raise ValueError("the vocabulary lacks single bytes")
-            growing.append(n)
+            growing.append((n, 0))
             alive = growing
         return count
 
