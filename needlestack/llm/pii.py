@@ -5,13 +5,17 @@ and identifier cues. A small parser for each kind expands its anchor to both sid
 validates what it gets. No pattern is searched for from every position of the text.
 
 Kinds, in this order: email, ip, card, phone (the base kinds), then what cues and schemes
-add: login (a web address with a user name in it), handle (@name), account (an identifier
-with a digit after its cue; IBANs must pass their checksum), secret (a value after a
-password or token cue, or an access key id).
+add: login (a web address with a user name in it, its scheme in any case), handle (@name),
+account (an identifier with four digits after its cue, in groups with single blanks between
+them, of which every later group holds a digit; an IBAN ends at its country's length and must
+pass its checksum), secret (a value after a password or token cue, or an access key id).
+Values have no upper length: a quoted secret ends at its closing quote, any other at a blank,
+quote, comma or semicolon, and a login's password at the last at-sign before its host.
 
 Spans are in code points, end exclusive. Matches of one kind do not overlap; a match that
 fails its check is dropped and still counts as passed over. A null text is empty; texts
-may be of any length: each anchor is expanded once, so work is linear in the text.
+may be of any length: each anchor is expanded once and no long run of characters twice, so
+work is linear in the text.
 """
 
 from __future__ import annotations
@@ -32,8 +36,18 @@ KINDS = (*BASE_KINDS, "login", "handle", "account", "secret")
 # Cues in lower case; they are also found capitalised and in capitals.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "cuenta", "compte")
 SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey")
-SCHEMES = ("http://", "https://", "ftp://", "ssh://")
+SCHEMES = ("https", "http", "ftp", "ssh")
 KEY_IDS = ("AKIA", "ASIA")
+# Characters of an IBAN by country: the registry's, then those in use without an entry there.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+IBAN_LENGTHS |= {country: n for n, countries in {
+    25: "AO CV GW MZ", 26: "DZ IR", 27: "CF CG CM GA GQ KM MG TD",
+    28: "BF BJ CI MA ML NE SN TG"}.items() for country in countries.split()}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
@@ -41,11 +55,16 @@ _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+").match
 _ip = re.compile(r"[0-9]++(?:\.[0-9]++){3}").match
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
-_login = re.compile(r"[A-Za-z0-9._%+~-]{1,64}+(?::[^\s/@:]{0,128}+)?@[A-Za-z0-9.-]+").match
+_login = re.compile(r"[A-Za-z0-9._%+~-]++(?::[^\s/@]*+(?:@[^\s/?#@]*+)*)?@[A-Za-z0-9.-]+").match
 _handle = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,29}+(?![A-Za-z0-9_.@-])").match
-_after_account = re.compile(r"(?i:\s?(?:no|nr|number|id)\b\.?)?[\x20\t]{0,2}[:=#]?[\x20\t]{0,2}([A-Z0-9][A-Z0-9-]{5,33}+)(?![A-Za-z0-9])").match
-_after_iban = re.compile(r"[\x20\t]{0,2}[:=#]?[\x20\t]{0,2}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+)").match
-_after_secret = re.compile(r"[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?([^\s\"',;]{8,256}+)").match
+_after_account = re.compile(r"(?i:\s?(?:no|nr|number|id)\b\.?)?[\x20\t]{0,2}[:=#]?[\x20\t]{0,2}(?=[A-Z0-9])").match
+_group = re.compile(r"[A-Z0-9][A-Z0-9-]*+").match
+_next_group = re.compile(r"\x20(?=[A-Z-]*[0-9])[A-Z0-9][A-Z0-9-]*+(?![A-Za-z0-9])").match
+_after_iban = re.compile(r"[\x20\t]{0,2}[:=#]?[\x20\t]{0,2}(?=[A-Z]{2}[0-9]{2})").match
+_iban_of = {n: re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){%d}" % (n - 4)).match for n in set(IBAN_LENGTHS.values())}
+_any_iban = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+").match
+_after_secret = re.compile(r"[\x20\t]{0,2}[:=][\x20\t]{0,2}"
+                           r"(?:\"((?:[^\"\\\r\n]|\\[^\r\n]){8,}+)\"|'((?:[^'\\\r\n]|\\[^\r\n]){8,}+)'|[\"']?([^\s\"',;]{8,}+))").match
 _key_tail = re.compile(r"[A-Z0-9]{16}+(?![A-Za-z0-9])").match
 
 
@@ -57,8 +76,7 @@ def _automaton():
         for cue in cues:
             for form in {cue, cue.capitalize(), cue.upper()}:
                 made.add_word(form, ("iban" if cue == "iban" else kind, len(form)))
-    for scheme in SCHEMES:
-        made.add_word(scheme, ("scheme", len(scheme)))
+    made.add_word("://", ("scheme", 3))
     for key in KEY_IDS:
         made.add_word(key, ("key", len(key)))
     made.make_automaton()
@@ -82,6 +100,12 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int:
+    """Where the valid IBAN that begins here ends; 0 without one. An unlisted country's is all that could belong to it."""
+    found = _iban_of.get(IBAN_LENGTHS.get(text[start:start + 2]), _any_iban)(text, start)
+    return found.end() if found and iban(found[0]) else 0
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -102,7 +126,7 @@ class Finder:
         out: list[tuple[int, int, int]] = []
         if not text:
             return out
-        email_end = ip_end = card_end = phone_end = other_end = 0
+        email_end = ip_end = card_end = phone_end = other_end = not_account = 0
         last_digit = -2
         for at, (kind, length) in self.anchors.iter(text):
             if kind == "digit":
@@ -133,8 +157,10 @@ class Finder:
                     if 10 <= len(_digits(m.group())) <= 15:
                         out.append((at, 3, phone_end))
             elif kind == "scheme":
-                if m := _login(text, at + 1):
-                    out.append((at + 1 - length, 4, m.end()))
+                before = text[max(at - 7, 0):at - 2].lower()
+                scheme = next((x for x in SCHEMES if before.endswith(x)), None)
+                if scheme and (m := _login(text, at + 1)):
+                    out.append((at - 2 - len(scheme), 4, m.end()))
             else:
                 start = at + 1 - length
                 if start < other_end or start and text[start - 1] in WORD:
@@ -145,15 +171,24 @@ class Finder:
                         other_end = m.end()
                 elif kind == "secret":
                     if m := _after_secret(text, at + 1):
-                        out.append((m.start(1), 7, m.end(1)))
-                        other_end = m.end()
+                        out.append((m.start(m.lastindex), 7, m.end(m.lastindex)))
+                        other_end = m.end(m.lastindex)
                 elif kind == "iban":
-                    if (m := _after_iban(text, at + 1)) and iban(m[1]):
-                        out.append((m.start(1), 6, m.end(1)))
-                        other_end = m.end()
-                elif (m := _after_account(text, at + 1)) and len(_digits(m[1])) >= 4:
-                    out.append((m.start(1), 6, m.end(1)))
-                    other_end = m.end()
+                    if (m := _after_iban(text, at + 1)) and (end := iban_end(text, m.end())):
+                        out.append((m.end(), 6, end))
+                        other_end = end
+                elif (m := _after_account(text, at + 1)) and (first := m.end()) >= not_account:
+                    if not (end := iban_end(text, first)):
+                        end = _group(text, first).end()
+                        whole = not (end < len(text) and text[end] in WORD and text[end] != "_")
+                        while whole and (m := _next_group(text, end)):
+                            end = m.end()
+                        found = text[first:end]
+                        if not whole or len(found.replace(" ", "")) < 6 or len(_digits(found)) < 4:
+                            not_account = end     # nor is any part of it that ends there
+                            continue
+                    out.append((first, 6, end))
+                    other_end = end
         out.sort()
         return out
 

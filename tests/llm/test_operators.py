@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,6 +92,35 @@ def test_personal_data(docs, empty):
     assert pii.find_personal(empty).count() == 0
 
 
+@pytest.mark.parametrize("text,want", [
+    ("token=" + "k3" * 500 + " and on", [("secret", "k3" * 500)]),
+    ('password: "correct horse, battery; staple" x', [("secret", "correct horse, battery; staple")]),
+    ("token='unclosed1 x", [("secret", "unclosed1")]),
+    ("see http://me:" + "p" * 129 + "@host.org/x", [("login", "http://me:" + "p" * 129 + "@host.org")]),
+    ("see ssh://" + "u" * 70 + ":p:q@r$s@host/x", [("login", "ssh://" + "u" * 70 + ":p:q@r$s@host")]),
+    ("HTTPS://me:pw@host Ftp://me@host gopher://me:pw@host", [("login", "HTTPS://me:pw@host"), ("login", "Ftp://me@host")]),
+    ("IBAN GB82 WEST 1234 5698 7654 32 Please pay", [("account", "GB82 WEST 1234 5698 7654 32")]),
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", [("account", "DE89 3704 0044 0532 0130 00")]),
+    ("IBAN GB82 WEST 1234 5698 7654 33 Please", []),
+    ("account GB82 WEST 1234 5698 7654 32 Please", [("account", "GB82 WEST 1234 5698 7654 32")]),
+    ("Account no. 1234 5678 90 Please", [("account", "1234 5678 90")]),
+    ("ssn 123 45 6789, passport AB 1234567", [("account", "123 45 6789"), ("account", "AB 1234567")]),
+    ("konto " + "1234-" * 20 + "X", [("account", "1234-" * 20 + "X")]),
+    ("account 12345678 BIC COBADEFF", [("account", "12345678")]),
+    ("account 12 34 and 123456789x", [])])
+def test_personal_data_is_never_cut(text, want):
+    found = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.Finder().spans(text)]
+    assert [x for x in found if x[0] in ("login", "account", "secret")] == want
+
+
+def test_long_runs_of_cues_take_linear_time():
+    for piece in ("KONTOA-", "KONTO A1 ", "token='", 'token="\\', "http://a:", "IBANDE89 ", "KONTO1 ", "token:"):
+        for end in ("", "x"):
+            began = time.process_time()
+            pii.Finder().spans(piece * 100_000 + end)
+            assert time.process_time() - began < 5, piece
+
+
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5)])
 def test_jaccard_join(docs, empty, k, num, den):
     sets = {}
