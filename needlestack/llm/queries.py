@@ -75,8 +75,8 @@ def op3_personal_data(spark, sf):
 
 
 def op4_jaccard_join(spark, sf):
-    return similar_components(documents(spark, sf, "doc_id", "text")).select(
-        F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return similar_components(documents(spark, sf, "doc_id", "text"), links=True).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 def op5_quality_rules(spark, sf):

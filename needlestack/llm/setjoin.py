@@ -14,8 +14,13 @@ relations between sets spare most of the work:
   1 - threshold can't be linked, which settles them from the answers of the pivot alone.
 
 What is left after the pivots of two orders is compared pair by pair, each pair once, and only
-where the two sets are not yet in one component. Links between sets of one component are never
-needed for the components, and no pair that could join two components is skipped.
+where the two sets are not yet in one component. No pair that could join two components is skipped.
+
+The links themselves are counted, or returned, after that: both ends of a link are in one
+component, and their sizes are close. A component is cut into blocks of sets of one size step,
+and a tile compares two blocks. Each tile has a pivot; what two of its sets share follows from
+the answers of the pivot alone, that is from the shingles in which each differs from it. Shingles
+that all sets share, or that only one set changes, need no look.
 
 Nulls and the rest: a null text, or one without words, has the empty set and is linked with
 nothing; fewer words than a shingle make one shingle of all; repeated rows are equal sets; a
@@ -32,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..operators.skew import join_small
 from ..sources.scratch import materialize
 from .bpe import _once
 from .components import components
@@ -44,6 +50,10 @@ SHARED_BITS = 27
 FREQUENCY_BITS = 20
 FILTER_BITS = 1 << 26
 PIVOT_ORDERS = 2
+#: About so many sets, and shingles of all of them, are one block of a component; a block has a set at least.
+BLOCK_SETS = 512
+BLOCK_SHINGLES = 1 << 20
+TILE_COLUMNS = 4096
 
 _worker: dict = {}
 
@@ -228,11 +238,8 @@ def _may_link(n: str, pos: str, m: str, mpos: str, threshold: tuple[int, int]):
     return sizes & (F.least(a - i, b - j) * (num + den) >= (a + b) * num)
 
 
-def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, same, n, m): exact intersection size of the sets of each pair of keys. Written once."""
-    pairs = materialize(pairs, "set_pairs")
-    needed = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    needed = materialize(needed.join(reps, "d"), "set_rows")
+def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of `needed`, which has the key (k1, k2) of one row for each, with that row's text."""
     held = rows.sparkSession.sparkContext.broadcast(bit_filter(needed, "k1", FILTER_BITS).tobytes())
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +248,15 @@ def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int) -
             pick = np.flatnonzero(passing(batch.column(0).to_numpy().view(np.uint64), bits))
             yield batch.take(pa.array(pick))
     texts = rows.select("k1", "k2", "text").mapInArrow(fetch, "k1 long, k2 long, text string")
-    texts = texts.join(needed, ["k1", "k2"]).dropDuplicates(["d"]).select("d", "text")
-    texts = materialize(texts, "set_texts")
+    return texts.join(needed, ["k1", "k2"]).dropDuplicates(["d"])
+
+
+def _compare(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, same, n, m): exact intersection size of the sets of each pair of keys. Written once."""
+    pairs = materialize(pairs, "set_pairs")
+    needed = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
+    needed = materialize(needed.join(reps, "d"), "set_rows")
+    texts = materialize(_texts(rows, needed).select("d", "text"), "set_texts")
     both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -292,18 +306,124 @@ def _ordered(x: str, y: str):
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                       threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(id, k1, k2, n_shingles, component_id) of every row: the smallest id reachable by links.
+def _tiled(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Members (root, d, n, ...) with their `tiles`: which two blocks each compares, and whether the set is in the second.
 
-    Two sets link when their Jaccard similarity is at least threshold[0] / threshold[1].
+    Small components are one block. In others, linked sets are at most one size step apart (steps are
+    a little wider than the threshold, so that rounding can't part them).
     """
+    num, den = threshold
+    own = (F.count(F.lit(1)), F.sum("n"))
+    whole = members.groupBy("root").agg(((own[0] <= BLOCK_SETS) & (own[1] <= BLOCK_SHINGLES)).alias("small"))
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) * 1.0001)).cast("int")
+    members = join_small(members, whole, ["root"]).withColumn("step", F.when(F.col("small"), 0).otherwise(step)).drop("small")
+    steps = materialize(members.groupBy("root", "step").agg(F.greatest(
+        F.ceil(own[0] / BLOCK_SETS), F.ceil(own[1] / BLOCK_SHINGLES)).cast("int").alias("parts")), "set_steps")
+    above, below = (steps.select("root", (F.col("step") + by).alias("step"), F.col("parts").alias(name))
+                    for name, by in (("above", -1), ("below", 1)))
+    steps = steps.join(above, ["root", "step"], "left").join(below, ["root", "step"], "left").na.fill(0, ["above", "below"])
+    out = join_small(members, steps, ["root", "step"])
+    out = out.withColumn("part", F.expr("CAST(pmod(xxhash64(d), parts) AS INT)"))
+    tiles = """concat(
+        transform(sequence(0, parts - 1), q -> struct(step AS s, least(part, q) AS i, step AS t, greatest(part, q) AS j, part > q AS second)),
+        transform(filter(sequence(0, above), q -> q < above), q -> struct(step AS s, part AS i, step + 1 AS t, q AS j, false AS second)),
+        transform(filter(sequence(0, below), q -> q < below), q -> struct(step - 1 AS s, q AS i, step AS t, part AS j, true AS second)))"""
+    return out.withColumn("tiles", F.expr(tiles)).drop("step", "parts", "above", "below", "part")
+
+
+def tile_links(first: list[np.ndarray], second: list[np.ndarray] | None,
+               threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, same): links of sets of one block with those of another, or within the first."""
+    num, den = threshold
+    sets = first + (second or [])
+    cut = len(first)
+    apart = [np.setxor1d(own, sets[0], assume_unique=True) for own in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in apart])
+    shingles, at = np.unique(np.concatenate(apart), return_inverse=True)
+    held = np.bincount(at[owner < cut], minlength=len(shingles))
+    if second is None:
+        useful, low = held > 1, 0
+    else:
+        useful, low = (held > 0) & (np.bincount(at[owner >= cut], minlength=len(shingles)) > 0), cut
+    column = np.cumsum(useful) - 1
+    keep = useful[at]
+    owner, at = owner[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((cut, len(sets) - low), dtype=np.int64)
+    width = int(useful.sum())
+    for start in range(0, width, TILE_COLUMNS):
+        lo, hi = np.searchsorted(at, (start, start + TILE_COLUMNS))
+        table = np.zeros((len(sets), min(TILE_COLUMNS, width - start)), dtype=np.float32)
+        table[owner[lo:hi], at[lo:hi] - start] = 1
+        both += (table[:cut] @ table[low:].T).astype(np.int64)
+    n, d = np.array([len(x) for x in sets]), np.array([len(x) for x in apart])
+    total = n[:cut, None] + n[None, low:]
+    same = (total - (d[:cut, None] + d[None, low:] - 2 * both)) // 2
+    linked = same * den >= (total - same) * num
+    x, y = np.nonzero(linked if second is not None else np.triu(linked, 1))
+    return x, y + low, same[x, y]
+
+
+def _links(rows: DataFrame, members: DataFrame, shingle: int, threshold: tuple[int, int], count: bool) -> DataFrame:
+    """(d, n_links) of every linked set, or (a, b, same, n, m) of every link once."""
+    members = materialize(_tiled(materialize(members, "set_members"), threshold), "set_members")
+    texts = _texts(rows, members).select("root", "tiles", "d", "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [set_of(t.as_py(), shingle).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())],
+                                             names=["root", "tiles", "d", "own"])
+    schema = T.StructType([*texts.schema.fields[:3], T.StructField("own", T.BinaryType())])
+    key = ["root", "s", "i", "t", "j"]
+    tiles = texts.mapInArrow(make, schema).select("root", F.inline("tiles"), "d", "own")
+    tiles = tiles.repartition(*key).sortWithinPartitions(*key, "second").select(*key, "second", "d", "own")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(tile: tuple, names: list, sets: list, cut: int) -> pa.RecordBatch | None:
+            within = tile[1:3] == tile[3:5]
+            if len(sets) < 2 or not (within or 0 < cut < len(sets)):
+                return None
+            x, y, same = tile_links(sets[:cut], None if within else sets[cut:], threshold)
+            if not len(x):
+                return None
+            if count:
+                n = np.bincount(x, minlength=len(sets)) + np.bincount(y, minlength=len(sets))
+                some = np.flatnonzero(n)
+                return pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.binary()), pa.array(n[some])],
+                                                  names=["d", "n_links"])
+            ends = [(u, v) if names[u] > names[v] else (v, u) for u, v in zip(x.tolist(), y.tolist())]
+            columns = [pa.array([names[e[k]] for e in ends], pa.binary()) for k in (0, 1)]
+            columns += [pa.array(same)] + [pa.array([len(sets[e[k]]) for e in ends], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "same", "n", "m"])
+
+        tile, names, sets, cut = None, [], [], 0
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns[:5]))
+            for at, second, d, own in zip(keys, *batch.columns[5:]):
+                if at != tile:
+                    if tile and (made := settled(tile, names, sets, cut)):
+                        yield made
+                    tile, names, sets, cut = at, [], [], 0
+                names.append(d.as_py()), sets.append(np.frombuffer(own.as_py(), dtype=np.uint64))
+                cut += not second.as_py()
+        if tile and (made := settled(tile, names, sets, cut)):
+            yield made
+    if count:
+        return tiles.mapInArrow(compare, "d binary, n_links long").groupBy("d").agg(F.sum("n_links").alias("n_links"))
+    return tiles.mapInArrow(compare, "a binary, b binary, same long, n long, m long")
+
+
+def _solved(docs: DataFrame, id_col: str, text_col: str, shingle: int,
+            threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, sets, members, roots): all rows, their sets, the linked sets with their component, and its root."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_key(F.col(id_col), text))
     num, den = threshold
     sets = materialize(_sets(rows, shingle), "sets")
-    reps = materialize(sets.where("d IS NOT NULL").groupBy("d").agg(F.min(F.struct("k1", "k2")).alias("r")).select(
-        "d", "r.k1", "r.k2"), "set_reps")       # the row that a set's text is read from
+    reps = materialize(sets.where("d IS NOT NULL").groupBy("d").agg(F.min(F.struct("k1", "k2")).alias("r"), F.max("n").alias("size")).select(
+        "d", "r.k1", "r.k2", "size"), "set_reps")       # the row that a set's text is read from
     index = materialize(_index(rows, _frequencies(rows, shingle), shingle, threshold), "set_index")
 
     may = partial(_may_link, threshold=threshold)
@@ -342,6 +462,34 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _compare(rows, reps, pairs, shingle)
     roots = _merge(roots, more.where(_linked(threshold)).select("a", "b"))
 
+    members = roots.select(F.col("node").alias("d"), "root").join(reps.withColumnRenamed("size", "n"), "d")
+    return rows, sets, members, roots
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                  threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(a, b, a_id, b_id, same, n, m): every link between two different sets once, in no order.
+
+    a and b are the keys of the sets, a_id and b_id the smallest ids of the rows that have them,
+    n and m their shingles and same how many both have. Rows with equal sets are one set.
+    """
+    rows, sets, members, _ = _solved(docs, id_col, text_col, shingle, threshold)
+    links = _links(rows, members, shingle, threshold, count=False)
+    least = sets.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("least"))
+    for end in ("a", "b"):
+        links = links.join(least.select(F.col("d").alias(end), F.col("least").alias(f"{end}_id")), end)
+    return links.select("a", "b", "a_id", "b_id", "same", "n", "m")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                       threshold: tuple[int, int] = THRESHOLD, links: bool = False) -> DataFrame:
+    """(id, k1, k2, n_shingles, component_id) of every row: the smallest id reachable by links.
+
+    Two sets link when their Jaccard similarity is at least threshold[0] / threshold[1]. With `links`
+    there is n_links as well: how many different sets the row's set is linked with.
+    """
+    rows, sets, members, roots = _solved(docs, id_col, text_col, shingle, threshold)
+
     # Smallest ids: by set first, then by component, so that no group is ever gathered.
     own = sets.where("d IS NOT NULL").groupBy("d").agg(F.min("id").alias("least"))
     own = own.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select(
@@ -349,6 +497,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = materialize(own, "set_roots")
     tops = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.join(tops, "root").select("d", "component_id")
+    columns = []
+    if links:
+        named = named.join(_links(rows, members, shingle, threshold, count=True), "d", "left")
+        columns = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     out = sets.join(named, "d", "left")
     return out.select("id", "k1", "k2", F.col("n").alias("n_shingles"),
-                      F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from needlestack.llm import bpe, counts, fingerprint, lines, mixing, pii, quality, setjoin, stages, substrings, toxicity
 from needlestack.llm.text import WordHashes, window_hashes
 
-from conftest_llm import hard_rows, LINE  # noqa: F401
+from conftest_llm import hard_rows, LINE, prose  # noqa: F401
 
 ROWS = hard_rows()
 TEXTS = [r[1] or "" for r in ROWS]
@@ -147,6 +147,37 @@ def test_jaccard_join(docs, empty, k, num, den):
         assert setjoin.similar_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 6])
+def test_jaccard_links(spark, docs, empty, monkeypatch, block):
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", block)
+    monkeypatch.setattr(setjoin, "TILE_COLUMNS", 16)
+    near = []
+    for i in range(48):      # edited copies that also grow, so that most are linked and not all
+        w = prose(900, 120 + i // 2).split()
+        w[(i * 37) % 100] = f"edit{i % 9}"
+        near.append((1000 + i, " ".join(w), "en", "s0", 0))
+    sets = {}
+    for r in ROWS + near:
+        w = (r[1] or "").encode().lower().split()
+        if w:
+            sets.setdefault(frozenset(tuple(w[j:j + 3]) for j in range(max(1, len(w) - 2))), []).append(r[0])
+    want, number = [], Counter()
+    for a in sets:
+        for b in sets:
+            if a is not b and 10 * len(a & b) >= 9 * len(a | b):
+                number[a] += 1
+                want.append((min(sets[a]), min(sets[b]), len(a & b), len(a), len(b)))
+    assert 200 < len(want) < 48 * 47
+    more = docs.unionByName(spark.createDataFrame(near, docs.schema))
+    links = setjoin.similar_links(more).collect()
+    assert len({frozenset((r.a, r.b)) for r in links}) == len(links)
+    same([(r.a_id, r.b_id, r.same, r.n, r.m) for r in links] + [(r.b_id, r.a_id, r.same, r.m, r.n) for r in links], want)
+    by_row = {i: number[a] for a, ids in sets.items() for i in ids}
+    for r in setjoin.similar_components(more, links=True).collect():
+        assert r.n_links == by_row.get(r.id, 0)
+    assert setjoin.similar_links(empty).count() == 0
+
+
 def test_quality(docs, empty, spark):
     hashes = WordHashes()
     for t in TEXTS:
