@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from needlestack.learners import trees
-from needlestack.operators import neighbors, split, votes
+from needlestack.operators import audit, neighbors, skew, split, votes
 from needlestack.operators.ordered import running
 from needlestack.sources.statlog import read_stat_table
 
@@ -29,6 +29,18 @@ def test_null_strata_and_groups_stay(spark):
     assert out.count() == steps.count() and out.where("y IS NULL").agg(F.max("run_n")).first()[0] == 200
 
 
+def test_null_groups_stay_in_joins_and_reliability(spark):
+    df = spark.range(60).select(F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("g"), (F.col("id") / 60).alias("p"),
+                                (F.col("id") % 2).alias("y"))
+    got = audit.reliability(df, "y", "p", 4, by=["g"]).groupBy("g").agg(F.sum("n").alias("n")).collect()
+    assert {r.g: r.n for r in got} == {None: 20, 1: 20, 2: 20}
+    table = df.groupBy("g").agg(F.max("p").alias("m"), F.count("*").alias("n"))
+    for out in (skew.join_small(df, table, ["g"]), skew.join_small(df, table, ["g"], limit=1),
+                skew.join_counted(df, table, ["g"], F.col("g").isNull(), ["m"]),
+                skew.join_counted(df, table, ["g"], F.col("g") == 1, ["m"])):
+        assert out.count() == 60 and out.where("g IS NULL AND m = 0.95").count() == 20
+
+
 def test_rows_without_scores_keep_their_id(spark):
     df = spark.createDataFrame([(1, 0.1, 0.2), (2, None, None), (3, 0.9, None)], "i int, a double, b double")
     got = {r.i: r.rank_score for r in votes.rank_average(df, "i", ["a", "b"]).collect()}
