@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import checkpointed
 
-ROWS_PER_PARTITION = 1_000_000
+GROUPS = 64
 
 
 def _shapes(layers: Sequence[int]):
@@ -90,15 +90,16 @@ class DenseNetwork(Estimator):
     """Layers of ReLU units and one sigmoid output, trained by averaged mini-batch SGD.
 
     hidden, dropout, max_norm: one entry per hidden layer. The step size at update u
-    is lr / (1 + decay * u). `partitions` fixes how rows are grouped, and with the id
-    and seed it fixes the result; by default it follows the row count. With `validCol`
+    is lr / (1 + decay * u). `partitions` is the number of hash groups that train side by
+    side and are averaged, one Spark partition each; with the id and seed it fixes the
+    result, and it doesn't depend on how many rows there are. With `validCol`
     and `patience`, rows marked there are held out, training stops once their loss has
     not improved for that many epochs, and the model carries `best_n`.
     """
 
     @keyword_only
     def __init__(self, *, hidden=(18, 13), dropout=(0.0, 0.0), max_norm=(0.0, 0.0), lr=0.2,
-                 decay=0.0, momentum=0.9, batch=1024, epochs=50, partitions=None, seed=1,
+                 decay=0.0, momentum=0.9, batch=1024, epochs=50, partitions=GROUPS, seed=1,
                  featuresCol="features", labelCol="label", weightCol=None, idCol="row_id",
                  validCol=None, patience=None):
         super().__init__()
@@ -123,7 +124,7 @@ class DenseNetwork(Estimator):
         weight = F.col(a["weightCol"]) if a["weightCol"] else F.lit(1.0)
         held = F.col(a["validCol"]) if a["validCol"] else F.lit(False)
         mixed = F.xxhash64(F.col(a["idCol"]), F.lit(a["seed"]))
-        parts = a["partitions"] or max(1, -(-dataset.count() // ROWS_PER_PARTITION))
+        parts = a["partitions"] or GROUPS
         rows = dataset.select(
             mixed.alias("h"), F.col(a["idCol"]).alias("i"),
             vector_to_array(a["featuresCol"], "float32").alias("x"),
@@ -132,8 +133,8 @@ class DenseNetwork(Estimator):
         # Grouped and ordered by hash once; every epoch re-reads the checkpoint, which
         # keeps that grouping and order.
         rows = checkpointed(
-            rows.withColumn("part", F.pmod("h", F.lit(parts)))
-            .repartition(parts, "part").sortWithinPartitions("part", "h", "i")
+            rows.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+            .repartitionById(parts, "part").sortWithinPartitions("part", "h", "i")
             .select("h", "x", "y", "w", "held"))
         layers = [len(rows.first()["x"]), *a["hidden"], 1]
         rng = np.random.default_rng(a["seed"])

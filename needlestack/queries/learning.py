@@ -88,7 +88,7 @@ def _svm(label="y", id_col="doc_id"):
 
 def _net(label="y", id_col="doc_id", epochs=30, **kw):
     return DenseNetwork(**{**dict(hidden=(18, 13), dropout=(0.04, 0.09), max_norm=(9.388, 2.72),
-                                  lr=0.1, decay=0.001, batch=32, epochs=epochs, partitions=2,
+                                  lr=0.1, decay=0.001, batch=32, epochs=epochs,
                                   labelCol=label, weightCol="weight", idCol=id_col), **kw})
 
 
@@ -245,7 +245,7 @@ def network_three_layer_scores(spark, sf):
     params = {"width_1": 18, "width_2": 13, "width_3": 9, "dropout_1": 0.05, "dropout_2": 0.05,
               "dropout_3": 0.0, "max_norm_1": 4, "max_norm_2": 4, "max_norm_3": 4, "batch": 32,
               "lr": 0.1}
-    net = network_from_trial(params, epochs=30, partitions=2, labelCol="y", weightCol="weight",
+    net = network_from_trial(params, epochs=30, labelCol="y", weightCol="weight",
                              idCol="doc_id")
     return _held_out(_on_docs(net), _docs(spark, sf), "doc_id", "y")
 

@@ -1,11 +1,13 @@
 """Cases that used to be capped, dropped or misread."""
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from needlestack.learners import trees
+from needlestack.learners import mlp, trees
 from needlestack.operators import audit, neighbors, skew, split, votes
 from needlestack.operators.ordered import running
+from needlestack.queries import learning
 from needlestack.sources.statlog import read_stat_table
 
 
@@ -58,3 +60,19 @@ def test_leading_tab(spark, tmp_path):
     (tmp_path / "log").write_text("\t1 2 x\n 3\t4 y \n\n")
     rows = read_stat_table(spark, str(tmp_path / "log"), ["a", "b", "name"], id_col="name").collect()
     assert [tuple(r) for r in rows] == [(1.0, 2.0, "x"), (3.0, 4.0, "y")]
+
+
+def test_network_groups_do_not_follow_the_row_count(spark, monkeypatch):
+    seen = []
+
+    def epoch(self, rows, layers, flat, velocity, epoch, updates):
+        per = rows.select(F.spark_partition_id().alias("s"), F.pmod("h", F.lit(mlp.GROUPS)).alias("g")).distinct().collect()
+        seen.append((rows.rdd.getNumPartitions(), sorted((r.s, r.g) for r in per)))
+        return flat, velocity, updates, 0.0, 0.0
+    monkeypatch.setattr(mlp.DenseNetwork, "_epoch", epoch)
+    for n in (2_000, 4_000):
+        df = spark.range(n).select(F.col("id").alias("row_id"), array_to_vector(F.array(F.rand(1))).alias("features"),
+                                   (F.col("id") % 2).alias("label"))
+        mlp.DenseNetwork(epochs=1).fit(df)
+    assert seen == 2 * [(64, [(i, i) for i in range(64)])]
+    assert learning._net().args["partitions"] == 64
