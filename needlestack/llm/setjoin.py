@@ -483,7 +483,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        threshold: tuple[int, int] = THRESHOLD, links: bool = False) -> DataFrame:
-    """(id, k1, k2, n_shingles, component_id) of every row: the smallest id reachable by links.
+    """(id, k1, k2, n_shingles, component_id, component) of every row: the smallest id reachable by links, and a
+    key of what is reachable, which is there without ids as well and null only for the empty set.
 
     Two sets link when their Jaccard similarity is at least threshold[0] / threshold[1]. With `links`
     there is n_links as well: how many different sets the row's set is linked with.
@@ -496,11 +497,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "d", "least", F.coalesce("root", "d").alias("root"))
     own = materialize(own, "set_roots")
     tops = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(tops, "root").select("d", "component_id")
+    named = own.join(tops, "root").select("d", "component_id", F.col("root").alias("component"))
     columns = []
     if links:
         named = named.join(_links(rows, members, shingle, threshold, count=True), "d", "left")
         columns = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     out = sets.join(named, "d", "left")
     return out.select("id", "k1", "k2", F.col("n").alias("n_shingles"),
-                      F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *columns)
+                      F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component", *columns)

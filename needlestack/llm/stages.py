@@ -28,19 +28,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one of smallest id.
 
-    Documents without words, and rows without an id, all stay.
+    Documents without words all stay. A row without an id comes after those with one, by its row key.
     """
     found = similar_components(docs, shingle=5, threshold=(4, 5))
-    free = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    kept = found.where(~free & (F.col("id") == F.col("component_id"))).groupBy("component_id").agg(
-        F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2", F.lit(True).alias("once"))
+    free = F.col("n_shingles") == 0
+    kept = found.where(~free).groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("k")).select("k.k1", "k.k2", F.lit(True).alias("once"))
     kept = kept.unionByName(found.where(free).select("k1", "k2", F.lit(False).alias("once")).distinct())
     key = row_key(F.col("doc_id"), F.col("text").cast("string"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs.select(row, *key).join(kept, ["k1", "k2"])
-    # Rows that repeat share a key: one of them stays, unless they are of those that all stay.
+    # Rows that repeat share a key: the first by all columns stays, unless they are of those that all stay.
     again = F.when(F.col("once"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
-    return out.withColumn("again", again).dropDuplicates(["k1", "k2", "again"]).select("row.*")
+    return out.withColumn("again", again).groupBy("k1", "k2", "again").agg(F.min("row").alias("row")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -353,6 +353,25 @@ def test_stages_keep_columns(spark, docs, empty, sf, n):
     assert stage(spark, empty, sf).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_order(spark, docs, sf):
+    text = prose(77, 90)
+    rows = [(7, text, "en", f"s{i}", 0) for i in (3, 1, 2)] + [(None, prose(500, 90) + x, "en", "s5", 0) for x in ("", " y", "")]
+    rows += [(None, text + " z", "en", "s0", 0), (None, "", "en", "s0", 0), (None, "", "en", "s0", 0)]
+    for n in (1, 4):
+        made = spark.createDataFrame(rows, docs.schema).repartition(n, "source")
+        out = stages.ngram_jaccard(spark, made, sf).collect()
+        assert sorted((str(r.doc_id), r.source, bool(r.text)) for r in out) == [
+            ("7", "s1", True), ("None", "s0", False), ("None", "s0", False), ("None", "s5", True)]
+
+
+def test_pipeline_reads_what_the_last_stage_wrote(spark, sf, monkeypatch):
+    import corpus_pipeline
+    read = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, d, sf: d), ("two", lambda s, d, sf: read.extend(d.inputFiles()) or d)])
+    corpus_pipeline.run(spark, sf)
+    assert read and all("/stage_one-" in f for f in read)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, sf).toPandas()
