@@ -9,6 +9,7 @@ from .counts import count_tokens
 from .fingerprint import containment, edited, fingerprints, likeness, printed, sketch, with_next
 from .lines import LineIndex, drop_repeated
 from .mixing import mix
+from .periodic import listed, longest_run, periodic_runs, with_periodic_tail
 from .pii import personal_digests
 from .quality import fit_cutoffs, judge, measure
 from .setjoin import similar_components
@@ -133,6 +134,15 @@ def op10_toxicity(spark, sf):
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_periodic_runs(spark, sf):
+    docs = with_periodic_tail(documents(spark, sf, "doc_id", "text"))
+    found = periodic_runs(docs).select("*", longest_run(F.col("runs")).alias("best"))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
@@ -144,5 +154,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op7_line_dedup": OP7_SQL}
