@@ -15,6 +15,7 @@ from .quality import fit_cutoffs, judge, measure
 from .setjoin import similar_components
 from .substrings import drop_repeats
 from .toxicity import THRESHOLD, held_out, score, train
+from .whitening import whiten
 from ..sources.scratch import materialize
 
 
@@ -143,6 +144,13 @@ def op12_periodic_runs(spark, sf):
         F.sha2(listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_embedding_whitening(spark, sf):
+    rows = whiten(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"))
+    return rows.select("*", F.posexplode(F.arrays_zip("whitened", "explained"))).select(
+        "row.vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col.whitened").alias("whitened"),
+        F.col("col.explained").alias("explained"), "identity_error")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
@@ -155,5 +163,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op7_line_dedup": OP7_SQL}
