@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import encode_digests
 from .counts import count_tokens
+from . import language
 from .fingerprint import containment, edited, fingerprints, likeness, printed, sketch, with_next
 from .lines import LineIndex, drop_repeated
 from .mixing import mix
@@ -135,6 +136,13 @@ def op10_toxicity(spark, sf):
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_language_id(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text", "lang")
+    model = language.train(docs, ~language.held_out())
+    found = language.predict(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op12_periodic_runs(spark, sf):
     docs = with_periodic_tail(documents(spark, sf, "doc_id", "text"))
     found = periodic_runs(docs).select("*", longest_run(F.col("runs")).alias("best"))
@@ -162,6 +170,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_language_id": op11_language_id,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
