@@ -8,112 +8,103 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..inflight import in_flight
-from ..operators.curves import average_precision, roc_auc
 from ..operators.history import patience_rule
 from ..operators.metrics import f1_loss
-from .trees import tree_nodes
+from .staged import Leaves, StagedMetrics, with_leaves
 
 REFIT_FACTOR = 1.25
-
-
-def _leaf_values(model) -> list[list[float]]:
-    """Leaf predictions of each tree, left to right: the order of Spark's leaf indices."""
-    leaves = tree_nodes(model).where(F.col("left").isNull()).select("tree", "node", "prediction")
-    out: list[list[float]] = [[] for _ in model.trees]
-    for r in leaves.orderBy("tree", "node").collect():
-        out[r["tree"]].append(r["prediction"])
-    return out
+#: Metrics of a round, and whether more is better.
+METRICS = {"logloss": False, "error": False, "f1": False, "deviance": False, "auc": True, "map": True}
+AREAS = {"auc", "map"}
 
 
 def staged_scores(model, df: DataFrame, keep: list[str]) -> DataFrame:
     """One row per row and boosting round: keep..., iteration, p after that many trees."""
-    weights = np.array(model.treeWeights)
-    values = _leaf_values(model)
-    width = max(len(v) for v in values)
-    grid = np.zeros((len(values), width))
-    for i, v in enumerate(values):
-        grid[i, :len(v)] = v
-    index = np.arange(len(values))
+    held = df.sparkSession.sparkContext.broadcast(Leaves(model))
 
     @F.pandas_udf("array<double>")
     def staged(leaf: pd.Series) -> pd.Series:
         if not len(leaf):
             return pd.Series([], dtype=object)
-        at = np.array(leaf.tolist()).astype(int)
-        margin = np.cumsum(grid[index, at] * weights, axis=1)
-        return pd.Series(list(1.0 / (1.0 + np.exp(-2.0 * margin))))
+        return pd.Series(list(held.value.scores(np.array(leaf.tolist()).astype(np.int64))))
 
-    leaf = "__leaf"
-    leafy = model.copy().setLeafCol(leaf).transform(df)
-    return leafy.select(*keep, F.posexplode(staged(vector_to_array(leaf)))).select(
+    return with_leaves(model, df, keep).select(*keep, F.posexplode(staged("__leaf"))).select(
         *keep, (F.col("pos") + 1).alias("iteration"), F.col("col").alias("p"))
 
 
-METRICS = {"logloss": False, "error": False, "f1": False, "auc": True, "map": True}
+def round_metric(model, df: DataFrame, label: str, metric: str | Callable, by: list[str] | None = None) -> DataFrame:
+    """(by..., iteration, value) of one metric; named ones merge per round, a user's aggregate sees rows x rounds."""
+    by = list(by or [])
+    metric = "f1" if metric is f1_loss else metric
+    if callable(metric):
+        staged = staged_scores(model, df, [*by, label])
+        return staged.groupBy(*by, "iteration").agg(metric(F.col(label), F.col("p")).alias("value"))
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    return StagedMetrics(model, df, label, by, areas=metric in AREAS).metric(metric)
+
 
+def _together(datasets: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """The named frames as one, with their name in `dataset`."""
+    return reduce(DataFrame.unionByName, [df.select(*[c for c in columns if c in df.columns], F.lit(name).alias("dataset"))
+                                          for name, df in datasets.items()])
 
-def _round_metric(staged: DataFrame, label: str, metric) -> DataFrame:
-    by = ["iteration"]
-    if callable(metric):
-        return staged.groupBy(*by).agg(metric(F.col(label), F.col("p")).alias("value"))
-    y, p = F.col(label), F.col("p")
-    if metric == "logloss":
-        q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
-        return staged.groupBy(*by).agg(F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("value"))
-    if metric == "error":
-        return staged.groupBy(*by).agg(F.avg(((p > 0.5) != (y == 1)).cast("double")).alias("value"))
-    if metric == "f1":
-        return staged.groupBy(*by).agg(f1_loss(y, p).alias("value"))
-    if metric == "auc":
-        return roc_auc(staged, label, "p", by).withColumnRenamed("roc_auc", "value")
-    if metric == "map":
-        return average_precision(staged, label, "p", by).withColumnRenamed("average_precision", "value")
-    raise ValueError(f"unknown metric {metric!r}")
+
+def _columns(model, label: str, datasets: dict[str, DataFrame]) -> list[str]:
+    weight = [model.getWeightCol()] if model.isDefined(model.weightCol) else []
+    held = all(c in df.columns for df in datasets.values() for c in weight)
+    return list(dict.fromkeys([label, model.getFeaturesCol(), *(weight if held else [])]))
 
 
 def training_history(model, datasets: dict[str, DataFrame], label: str,
                      metrics=("error", "auc", "logloss")) -> DataFrame:
-    """(dataset, metric, iteration, value) for every round of a boosted model."""
+    """(dataset, metric, iteration, value) for every round of a boosted model; one scan for all named metrics."""
+    df = _together(datasets, _columns(model, label, datasets))
+    named = ["f1" if m is f1_loss else m for m in metrics]
+    kept = StagedMetrics(model, df, label, ["dataset"], areas=bool(AREAS.intersection(m for m in named if isinstance(m, str))))
     parts = []
-    for name, df in datasets.items():
-        staged = staged_scores(model, df, [label])
-        for m in metrics:
-            title = m if isinstance(m, str) else m.__name__
-            parts.append(_round_metric(staged, label, m).select(
-                F.lit(name).alias("dataset"), F.lit(title).alias("metric"), "iteration", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for m, title in zip(named, metrics):
+        value = round_metric(model, df, label, m, ["dataset"]) if callable(m) else kept.metric(m)
+        title = title if isinstance(title, str) else title.__name__
+        parts.append(value.select("dataset", F.lit(title).alias("metric"), "iteration", "value"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def staged_deviance(model, datasets: dict[str, DataFrame], label: str) -> DataFrame:
-    """(dataset, iteration, value): mean loss per number of trees, one pass per dataset."""
-    spark = next(iter(datasets.values())).sparkSession
-    rows = []
-    for name, df in datasets.items():
-        if model.isDefined(model.weightCol) and model.getWeightCol() not in df.columns:
-            df = df.withColumn(model.getWeightCol(), F.lit(1.0))
-        scored = df.withColumn(model.getLabelCol(), F.col(label).cast("double"))
-        for i, v in enumerate(model.evaluateEachIteration(scored)):
-            rows.append((name, i + 1, float(v)))
-    return spark.createDataFrame(rows, "dataset string, iteration int, value double")
+    """(dataset, iteration, value): weighted mean loss per number of trees, twice the log loss; one scan."""
+    df = _together(datasets, _columns(model, label, datasets))
+    return StagedMetrics(model, df, label, ["dataset"]).metric("deviance")
+
+
+def truncated(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The first n trees of a boosted model: what a fit with n rounds and the same seed would have made."""
+    n = min(n, model.getNumTrees)
+    if n < 1:
+        raise ValueError("a boosted model has a tree at least")
+    java, gateway = model._java_obj, SparkSession.builder.getOrCreate().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], float(model.treeWeights[i])
+    cut = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        model.uid, trees, weights, model.numFeatures, model.numClasses))
+    return model._copyValues(cut)._set(maxIter=n)
 
 
 class EarlyStoppedGBT(Estimator):
     """Boosting that keeps the best round on held-out rows.
 
     Fits up to the learner's maxIter on rows where `valid` is false, reads the metric
-    of every round on the other rows, applies the patience rule, and refits with that
-    many rounds and the same seed. The model carries `best_n` and `history`.
+    of every round on the other rows, applies the patience rule, and keeps that many
+    trees. The model carries `best_n` and `history`.
 
-    metric: logloss, error, f1 (as 1 - F1), auc, map, or a function of the label and
-    score columns that returns an aggregate loss.
+    metric: logloss, error, f1 (as 1 - F1), deviance, auc, map, or a function of the label
+    and score columns that returns an aggregate loss.
     """
 
     validCol = Param(Params._dummy(), "validCol", "held-out marker", TypeConverters.toString)
@@ -128,20 +119,20 @@ class EarlyStoppedGBT(Estimator):
     def _fit(self, dataset: DataFrame):
         valid = F.col(self.getOrDefault(self.validCol))
         train, held = dataset.where(~valid), dataset.where(valid)
-        label = self.learner.getLabelCol()
         full = self.learner.fit(train)
-        history = _round_metric(staged_scores(full, held, [label]), label, self.metric)
+        history = round_metric(full, held, self.learner.getLabelCol(), self.metric)
         rows = history.collect()                    # one row per round
-        spark = dataset.sparkSession
-        history = spark.createDataFrame(rows, history.schema)
-        larger = METRICS.get(self.metric, False) if isinstance(self.metric, str) else False
-        best = patience_rule(history, self.getOrDefault(self.patience), larger_is_better=larger).first()
-        best_n = int(best["best_iteration"])
-        model = self.learner.copy().setMaxIter(best_n).fit(train)
-        model.best_n, model.history = best_n, history
+        history = dataset.sparkSession.createDataFrame(rows, history.schema)
+        best = patience_rule(history, self.getOrDefault(self.patience), larger_is_better=_larger(self.metric)).first()
+        model = truncated(full, int(best["best_iteration"]))
+        model.best_n, model.history = int(best["best_iteration"]), history
         return model
 
 
+def _larger(metric) -> bool:
+    return METRICS.get(metric, False) if isinstance(metric, str) else False
+
+
 def refit(learner, df: DataFrame, best_n: int, factor: float = REFIT_FACTOR):
     """Fit on all rows with int(factor * best_n) rounds."""
     return learner.copy().setMaxIter(max(1, int(factor * best_n))).fit(df)
@@ -154,11 +145,17 @@ def boosting_cv(learner, df: DataFrame, fold: str, k: int, patience: int,
 
     def one(f):
         model = learner.fit(df.where(F.col(fold) != f))
-        h = _round_metric(staged_scores(model, df.where(F.col(fold) == f), [label]), label, metric)
+        h = round_metric(model, df.where(F.col(fold) == f), label, metric)
         return h.select(F.lit(f).alias("fold"), "iteration", "value")
 
     parts = reduce(DataFrame.unionByName, in_flight(one, range(k)))
     history = df.sparkSession.createDataFrame(parts.collect(), parts.schema)   # k rows per round
     mean = history.groupBy("iteration").agg(F.avg("value").alias("value"))
-    larger = METRICS.get(metric, False) if isinstance(metric, str) else False
-    return history, patience_rule(mean, patience, larger_is_better=larger)
+    return history, patience_rule(mean, patience, larger_is_better=_larger(metric))
+
+
+def fold_rounds(history: DataFrame, patience: int, metric: str | Callable = "map", fold: str = "fold") -> DataFrame:
+    """(fold, best_iteration, best_value, last_iteration, stopped): the patience rule on each fold's history.
+
+    The largest best_iteration is the round count of a refit on all rows."""
+    return patience_rule(history, patience, [fold], larger_is_better=_larger(metric))

@@ -27,6 +27,16 @@ def score_steps(df: DataFrame, label: str, p: str, by: Sequence[str] = (),
         .groupBy(*by, "bucket", "threshold")
         .agg(F.count_if("__y").alias("pos"), F.count_if(~F.col("__y")).alias("neg"))
     )
+    return _run(steps, by)
+
+
+def steps_of_counts(counts: DataFrame, by: Sequence[str] = (),
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """`score_steps` of scores that are counted already: one row per (by, threshold) with pos and neg."""
+    return _run(with_bucket(counts, "threshold", order_splits(counts, "threshold", rows_per_bucket)), list(by))
+
+
+def _run(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     out = running(steps, by, "threshold", sums=["pos", "neg"], descending=True)
     return out.select(*by, "threshold", "pos", "neg", F.col("run_pos").alias("tp"),
                       F.col("run_neg").alias("fp"), F.col("all_pos").alias("n_pos"),
@@ -61,7 +71,10 @@ def pr_curve(df, label, p, by=(), **kw) -> DataFrame:
 
 def roc_auc(df, label, p, by=(), **kw) -> DataFrame:
     """Tie-aware rank-sum area: each negative counts the positives above it, ties half."""
-    s = score_steps(df, label, p, by, **kw)
+    return auc_of_steps(score_steps(df, label, p, by, **kw), by)
+
+
+def auc_of_steps(s: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     won = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     pairs = F.max("n_pos").cast("double") * F.max("n_neg")
     return _agg(s, by, F.try_divide(F.sum(won), pairs).alias("roc_auc"))
@@ -70,7 +83,10 @@ def roc_auc(df, label, p, by=(), **kw) -> DataFrame:
 def average_precision(df, label, p, by=(), mode: str = "step", **kw) -> DataFrame:
     """Area under precision-recall: `step` sums precision over recall gains, `trapezoid`
     joins the points linearly from (recall 0, precision 1)."""
-    s = score_steps(df, label, p, by, **kw)
+    return precision_of_steps(score_steps(df, label, p, by, **kw), by, mode)
+
+
+def precision_of_steps(s: DataFrame, by: Sequence[str] = (), mode: str = "step") -> DataFrame:
     if mode == "step":
         height = _precision_here()
     elif mode == "trapezoid":
