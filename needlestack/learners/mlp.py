@@ -1,17 +1,20 @@
 """Data-parallel dense network with dropout, max-norm, momentum and class weights.
 
-Each epoch is one Spark job: every partition runs mini-batch gradient descent from
-the shared weights on its own rows, and Spark averages the results weighted by rows
-(Zinkevich et al., "Parallelized Stochastic Gradient Descent", 2010). Only arrays of
-model size reach the driver, whatever the number of partitions or rows.
+Training is synchronous: the ids' hashes deal the rows to the batches of an epoch, all
+tasks add up the gradient of one batch over all of its rows, and one step is taken with
+the sum. So the model is that of one machine with the same batches, however the rows are
+spread, and only arrays of model size reach the driver. A batch is a folder of its own
+in the shared scratch folder, so a step reads the rows of its batch and no others; executors
+keep in memory and on disk what fits, and one that is lost reads the folder again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,9 +22,11 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.scratch import checkpointed
+from ..operators.summed import array_sum
+from ..sources.scratch import scratch_path
 
-GROUPS = 64
+MAX_STEPS = 64
+HELD = -1
 
 
 def _shapes(layers: Sequence[int]):
@@ -56,19 +61,29 @@ def _loss(p, y, w) -> float:
     return float((-w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
 
 
-def _gradient(flat, layers, x, y, w, dropout, rng):
+def _kept(h: np.ndarray, salt: int, units: int, keep: float) -> np.ndarray:
+    """Which units of a layer dropout keeps for each row: a function of the row's hash, the step and the layer."""
+    z = h.view(np.uint64)[:, None] + np.arange(1, units + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = z ^ np.uint64(salt * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) < int(keep * (1 << 53))
+
+
+def _gradient(flat, layers, x, y, w, dropout, h=None, salt: int = 0):
     """Gradient of the weighted mean cross-entropy with inverted dropout on hidden layers."""
     params = _unpack(flat, layers)
-    inputs, masks, h = [], [], x
+    inputs, masks, a = [], [], x
     for i, (k, b) in enumerate(params):
-        inputs.append(h)
-        h = h @ k + b
+        inputs.append(a)
+        a = a @ k + b
         if i < len(params) - 1:
-            keep = 1.0 - dropout[i]
-            mask = (h > 0) * ((rng.random(h.shape) < keep) / keep if dropout[i] > 0 else 1.0)
-            h = h * mask
+            mask = (a > 0).astype(np.float64)
+            if dropout[i] > 0:
+                mask *= _kept(h, salt * len(params) + i, a.shape[1], 1.0 - dropout[i]) / (1.0 - dropout[i])
+            a = a * mask
             masks.append(mask)
-    p = 1.0 / (1.0 + np.exp(-np.clip(h[:, 0], -500, 500)))
+    p = 1.0 / (1.0 + np.exp(-np.clip(a[:, 0], -500, 500)))
     delta = ((p - y) * w / w.sum())[:, None]
     parts = []
     for i in range(len(params) - 1, -1, -1):
@@ -87,25 +102,24 @@ def _clip_norms(flat, layers, max_norm):
 
 
 class DenseNetwork(Estimator):
-    """Layers of ReLU units and one sigmoid output, trained by averaged mini-batch SGD.
-
-    hidden, dropout, max_norm: one entry per hidden layer. The step size at update u
-    is lr / (1 + decay * u). `partitions` is the number of hash groups that train side by
-    side and are averaged, one Spark partition each; with the id and seed it fixes the
-    result, and it doesn't depend on how many rows there are. With `validCol`
-    and `patience`, rows marked there are held out, training stops once their loss has
-    not improved for that many epochs, and the model carries `best_n`.
+    """Layers of ReLU units and one sigmoid output, trained by synchronous mini-batch gradient descent.
+
+    hidden, dropout, max_norm: one entry per hidden layer. The step size at update u is lr / (1 + decay * u).
+    An epoch takes one step for every `batch` rows, at most `max_steps`: with more rows the batches grow, so an
+    epoch is at most `max_steps` jobs. `partitions` spreads the rows; the model doesn't depend on it. With
+    `validCol` and `patience`, rows marked there are held out, training stops once their loss has not improved
+    for that many epochs, and the model carries `best_n`.
     """
 
     @keyword_only
     def __init__(self, *, hidden=(18, 13), dropout=(0.0, 0.0), max_norm=(0.0, 0.0), lr=0.2,
-                 decay=0.0, momentum=0.9, batch=1024, epochs=50, partitions=GROUPS, seed=1,
+                 decay=0.0, momentum=0.9, batch=1024, epochs=50, max_steps=MAX_STEPS, partitions=None, seed=1,
                  featuresCol="features", labelCol="label", weightCol=None, idCol="row_id",
                  validCol=None, patience=None):
         super().__init__()
         self.args = dict(hidden=tuple(hidden), dropout=tuple(dropout), max_norm=tuple(max_norm),
                          lr=lr, decay=decay, momentum=momentum, batch=batch, epochs=epochs,
-                         partitions=partitions, seed=seed, featuresCol=featuresCol,
+                         max_steps=max_steps, partitions=partitions, seed=seed, featuresCol=featuresCol,
                          labelCol=labelCol, weightCol=weightCol, idCol=idCol, validCol=validCol,
                          patience=patience)
 
@@ -119,94 +133,87 @@ class DenseNetwork(Estimator):
     def getLabelCol(self) -> str:
         return self.args["labelCol"]
 
-    def _fit(self, dataset: DataFrame) -> "DenseNetworkModel":
-        a = self.args
+    def _batches(self, dataset: DataFrame) -> tuple[list[DataFrame], list[int]]:
+        """The rows of each step of an epoch, the first with the held-out rows as well, and their tasks."""
+        a, spark = self.args, dataset.sparkSession
         weight = F.col(a["weightCol"]) if a["weightCol"] else F.lit(1.0)
-        held = F.col(a["validCol"]) if a["validCol"] else F.lit(False)
-        mixed = F.xxhash64(F.col(a["idCol"]), F.lit(a["seed"]))
-        parts = a["partitions"] or GROUPS
+        held = F.coalesce(F.col(a["validCol"]), F.lit(False)) if a["validCol"] else F.lit(False)
+        n = dataset.where(~held).count()
+        if not n:
+            raise ValueError("no rows to train on")
+        steps = min(a["max_steps"], max(1, round(n / a["batch"])))
+        dealt = F.pmod(F.xxhash64(F.col(a["idCol"]), F.lit(a["seed"]), F.lit("step")), F.lit(steps))
         rows = dataset.select(
-            mixed.alias("h"), F.col(a["idCol"]).alias("i"),
+            F.xxhash64(F.col(a["idCol"]), F.lit(a["seed"])).alias("h"),
             vector_to_array(a["featuresCol"], "float32").alias("x"),
             F.col(a["labelCol"]).cast("float").alias("y"), weight.cast("float").alias("w"),
-            held.alias("held"))
-        # Grouped and ordered by hash once; every epoch re-reads the checkpoint, which
-        # keeps that grouping and order.
-        rows = checkpointed(
-            rows.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
-            .repartitionById(parts, "part").sortWithinPartitions("part", "h", "i")
-            .select("h", "x", "y", "w", "held"))
-        layers = [len(rows.first()["x"]), *a["hidden"], 1]
+            F.when(held, F.lit(HELD)).otherwise(dealt.cast("int")).alias("step"))
+        if a["partitions"]:
+            rows = rows.repartition(a["partitions"], "h")
+        path = scratch_path(spark, "network_rows")
+        rows.write.partitionBy("step").parquet(path)
+        # The step is a folder name here, so a filter on it chooses what is read.
+        stored = spark.read.schema(rows.schema).parquet(path)
+        parts = [stored.where(F.col("step").isin(0, HELD) if s == 0 else F.col("step") == s).persist()
+                 for s in range(steps)]
+        return parts, [part.rdd.getNumPartitions() for part in parts]
+
+    def _fit(self, dataset: DataFrame) -> "DenseNetworkModel":
+        a = self.args
+        batches, parts = self._batches(dataset)
+        layers = [len(dataset.select(vector_to_array(a["featuresCol"]).alias("x")).first()["x"]), *a["hidden"], 1]
         rng = np.random.default_rng(a["seed"])
         flat = np.zeros(_size(layers))
         for w, _ in _unpack(flat, layers):
             w[:] = rng.uniform(-1, 1, w.shape) * np.sqrt(6.0 / sum(w.shape))
         velocity = np.zeros_like(flat)
         history, updates, best = [], 0, (np.inf, 0)
-        # The held-out loss of an epoch is read by the job of the next one, so stopping
-        # costs no extra pass; the loop runs one round further to read the last.
-        rounds = a["epochs"] + (1 if a["validCol"] else 0)
-        for epoch in range(rounds):
-            new, velocity, updates, loss, held_loss = self._epoch(
-                rows, layers, flat, velocity, epoch, updates)
-            if epoch and a["validCol"]:
-                history[-1]["valid"] = held_loss
-                if held_loss < best[0]:
-                    best = (held_loss, epoch)
-                if a["patience"] and epoch - best[1] >= a["patience"]:
+        # The held-out loss of an epoch is read by the first job of the next one, so stopping costs no extra
+        # pass; the loop runs one round further to read the last.
+        for epoch in range(a["epochs"] + (1 if a["validCol"] else 0)):
+            loss, seen = 0.0, 0.0
+            for step, (rows, tasks) in enumerate(zip(batches, parts)):
+                gradient, w, own, held_w, held_loss = self._sums(rows, tasks, layers, flat, updates)
+                if not step and epoch and a["validCol"]:
+                    history[-1]["valid"] = held_loss / held_w if held_w else np.nan
+                    if history[-1]["valid"] < best[0]:
+                        best = (history[-1]["valid"], epoch)
+                    if a["patience"] and epoch - best[1] >= a["patience"]:
+                        break
+                if epoch == a["epochs"]:
                     break
-            if epoch < a["epochs"]:
-                flat = new
-                history.append({"train": loss})
+                loss, seen = loss + own, seen + w
+                if w > 0:
+                    velocity = a["momentum"] * velocity - a["lr"] / (1.0 + a["decay"] * updates) * gradient / w
+                    flat = flat + velocity
+                    _clip_norms(flat, layers, a["max_norm"])
+                updates += 1
+            else:
+                history.append({"train": loss / seen})
+                continue
+            break
+        for rows in batches:
+            rows.unpersist()
         model = DenseNetworkModel(layers=layers, weights=flat.tolist(), featuresCol=a["featuresCol"])
         model.history, model.best_n = history, best[1] or len(history)
         return model
 
-    def _epoch(self, rows, layers, flat, velocity, epoch, updates):
-        a, size = self.args, len(flat)
-
-        def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w, v = flat.copy(), velocity.copy()
-            seen, u, loss, rng = 0.0, updates, 0.0, None
-            held_loss, held_seen = 0.0, 0.0
-            for pdf in batches:
-                held = pdf["held"].to_numpy(bool)
-                for part, is_held in ((pdf[held], True), (pdf[~held], False)):
-                    if part.empty:
-                        continue
-                    x = np.array(part["x"].tolist(), dtype=np.float64)
-                    y, cw = part["y"].to_numpy(np.float64), part["w"].to_numpy(np.float64)
-                    if is_held:
-                        held_loss += _loss(forward(flat, layers, x), y, cw)
-                        held_seen += cw.sum()
-                        continue
-                    if rng is None:
-                        first = int(part["h"].iloc[0]) & 0x7FFFFFFF
-                        rng = np.random.default_rng([a["seed"], epoch, first])
-                    loss += _loss(forward(w, layers, x), y, cw)
-                    seen += cw.sum()
-                    for s in range(0, len(x), a["batch"]):
-                        cut = slice(s, s + a["batch"])
-                        g = _gradient(w, layers, x[cut], y[cut], cw[cut], a["dropout"], rng)
-                        v = a["momentum"] * v - a["lr"] / (1.0 + a["decay"] * u) * g
-                        w = w + v
-                        _clip_norms(w, layers, a["max_norm"])
-                        u += 1
-            if seen:
-                values = np.concatenate([w, v, [u - updates, loss / seen]]) * seen
-                yield pd.DataFrame({"k": np.arange(len(values)), "v": values, "n": seen})
-            if held_seen:
-                yield pd.DataFrame({"k": [2 * size + 2], "v": [held_loss], "n": [held_seen]})
-
-        out = rows.mapInPandas(train, "k int, v double, n double")
-        mean = out.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        values = np.zeros(2 * size + 3)
-        for r in mean:
-            values[r["k"]] = r["v"]
-        new = values[:size]
-        _clip_norms(new, layers, a["max_norm"])
-        return (new, values[size:2 * size], updates + int(round(values[2 * size])),
-                float(values[2 * size + 1]), float(values[2 * size + 2]))
+    def _sums(self, rows: DataFrame, tasks: int, layers, flat: np.ndarray, update: int):
+        """Gradient, weight and loss over one batch, and weight and loss of the held-out rows in it."""
+        dropout, size = self.args["dropout"], len(flat)
+
+        def of_batch(batch: pa.RecordBatch) -> np.ndarray:
+            h, y, w, step = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+            x = batch.column(1).flatten().to_numpy().reshape(len(h), -1).astype(np.float64)
+            y, w, held = y.astype(np.float64), w.astype(np.float64), step == HELD
+            loss = lambda at: _loss(forward(flat, layers, x[at]), y[at], w[at])
+            seen = ~held
+            weight, gradient = w[seen].sum(), np.zeros(size)
+            if weight > 0:
+                gradient = _gradient(flat, layers, x[seen], y[seen], w[seen], dropout, h[seen], update) * weight
+            return np.concatenate([gradient, [weight, loss(seen), w[held].sum(), loss(held)]])
+        out = array_sum(rows, of_batch, size + 4, tasks)
+        return out[:size], *map(float, out[size:])
 
 
 def network_history(spark, model) -> DataFrame:

@@ -44,14 +44,11 @@ def with_bucket(df: DataFrame, key: str, splits: Sequence[float], out: str = "bu
     return bins.transform(df.withColumn("__key", F.col(key).cast("double"))).drop("__key")
 
 
-def join_groups(rows: DataFrame, table: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
-    """Inner join to a table of one row per (by, bucket), in which a NULL group is a group as well."""
-    named = {c: f"__j{i}" for i, c in enumerate([*by, bucket])}
-    table = table.withColumnsRenamed(named)
-    match = F.col(bucket) == F.col(named[bucket])
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(named[c]))
-    return rows.join(table, match).drop(*named.values())
+def grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the group as one struct, and names it. A struct is never NULL, whatever it holds, and structs of
+    the same values are equal, NULLs included: so a NULL group is a group, windows and joins by plain equality
+    share one partitioning, and rows shuffle once."""
+    return (df.withColumn("__g", F.struct(*by)), ["__g"]) if by else (df, [])
 
 
 def running(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str] = (),
@@ -64,30 +61,30 @@ def running(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str] = ()
     total over `by`). The window is hash-partitioned and sorted on (by, bucket),
     which the join to the bucket totals re-uses, so rows shuffle once.
     """
-    by = list(by)
+    keyed, group = grouped(df, by)
     direction = F.desc if descending else F.asc
-    inside = (Window.partitionBy(*by, bucket).orderBy(direction(key))
+    inside = (Window.partitionBy(*group, bucket).orderBy(direction(key))
               .rowsBetween(Window.unboundedPreceding, 0))
-    before = (Window.partitionBy(*by).orderBy(direction(bucket))
+    before = (Window.partitionBy(*group).orderBy(direction(bucket))
               .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*by)
+    whole = Window.partitionBy(*group)
 
     totals = (
-        df.groupBy(*by, bucket)
+        keyed.groupBy(*group, bucket)
         .agg(*[F.sum(c).alias(f"__t_{c}") for c in sums],
              *[F.min(c).alias(f"__m_{c}") for c in mins])
     )
     offsets = totals.select(
-        *by, bucket,
+        *group, bucket,
         *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums],
         *[F.sum(f"__t_{c}").over(whole).alias(f"all_{c}") for c in sums],
         *[F.min(f"__m_{c}").over(before).alias(f"__p_{c}") for c in mins],
     )
-    ranked = df.withColumns({
+    ranked = keyed.withColumns({
         **{f"__r_{c}": F.sum(c).over(inside) for c in sums},
         **{f"__n_{c}": F.min(c).over(inside) for c in mins},
     })
-    joined = join_groups(ranked, offsets, by, bucket)
+    joined = ranked.join(offsets, [*group, bucket])
     return joined.select(
         *df.columns,
         *[(F.col(f"__r_{c}") + F.col(f"__o_{c}")).alias(f"run_{c}") for c in sums],
@@ -103,19 +100,19 @@ def hashed_ordinal(df: DataFrame, by: Sequence[str], id_col: str, seed_col: str,
     The bucket is the leading hex digits of the same md5, so buckets are even
     whatever the ids look like. `id_col` must be unique within `by`.
     """
-    by = list(by)
-    keyed = df.withColumn(
+    keyed, group = grouped(df, by)
+    keyed = keyed.withColumn(
         "__h", F.md5(F.concat_ws(":", F.col(seed_col).cast("string"), F.col(id_col).cast("string")))
     ).withColumn("__b", F.substring("__h", 1, digits))
-    inside = Window.partitionBy(*by, "__b").orderBy("__h", id_col)
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "__b").orderBy("__h", id_col)
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
-        .select(*by, "__b",
+        keyed.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+        .select(*group, "__b",
                 F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
-                F.sum("__n").over(Window.partitionBy(*by)).alias(size))
+                F.sum("__n").over(Window.partitionBy(*group)).alias(size))
     )
     return (
-        join_groups(keyed.withColumn("__r", F.row_number().over(inside)), offsets, by, "__b")
+        keyed.withColumn("__r", F.row_number().over(inside)).join(offsets, [*group, "__b"])
         .select(*df.columns, (F.col("__r") + F.col("__o")).cast("long").alias(out), size)
     )

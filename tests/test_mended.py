@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from needlestack.learners import mlp, trees
 from needlestack.operators import audit, neighbors, skew, split, votes
 from needlestack.operators.ordered import running
-from needlestack.queries import learning
 from needlestack.sources.statlog import read_stat_table
 
 
@@ -62,17 +61,52 @@ def test_leading_tab(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1.0, 2.0, "x"), (3.0, 4.0, "y")]
 
 
-def test_network_groups_do_not_follow_the_row_count(spark, monkeypatch):
-    seen = []
-
-    def epoch(self, rows, layers, flat, velocity, epoch, updates):
-        per = rows.select(F.spark_partition_id().alias("s"), F.pmod("h", F.lit(mlp.GROUPS)).alias("g")).distinct().collect()
-        seen.append((rows.rdd.getNumPartitions(), sorted((r.s, r.g) for r in per)))
-        return flat, velocity, updates, 0.0, 0.0
-    monkeypatch.setattr(mlp.DenseNetwork, "_epoch", epoch)
-    for n in (2_000, 4_000):
-        df = spark.range(n).select(F.col("id").alias("row_id"), array_to_vector(F.array(F.rand(1))).alias("features"),
-                                   (F.col("id") % 2).alias("label"))
-        mlp.DenseNetwork(epochs=1).fit(df)
-    assert seen == 2 * [(64, [(i, i) for i in range(64)])]
-    assert learning._net().args["partitions"] == 64
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_network_is_the_same_however_rows_are_spread(spark, dropout):
+    df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("label"), F.col("id") % 5 == 0,
+                                 array_to_vector(F.array((F.col("id") % 7) / 7.0, (F.col("id") % 2) * 0.5)).alias("features"))
+    df = df.withColumn("held", F.pmod("row_id", F.lit(5)) == 0)
+    fit = lambda parts, rows: mlp.DenseNetwork(hidden=(5, 3), dropout=(dropout, dropout), batch=100, epochs=3, partitions=parts,
+                                               validCol="held").fit(rows)
+    models = [fit(None, df), fit(2, df), fit(8, df.repartition(3)), fit(70, df)]
+    for m in models[1:]:
+        assert m.getOrDefault("weights") == pytest.approx(models[0].getOrDefault("weights"), abs=1e-10)
+        assert m.history[-1] == pytest.approx(models[0].history[-1], abs=1e-10)
+
+
+def test_network_steps_are_bounded_and_equal_one_machine(spark):
+    """One step an epoch over all rows is plain gradient descent, whatever the batch asks for."""
+    import numpy as np
+    x = np.random.default_rng(0).normal(size=(50, 3)).astype(np.float32)
+    y = (x[:, 0] > 0).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "row_id long, x array<double>, label double").withColumn("features", array_to_vector("x"))
+    net = mlp.DenseNetwork(hidden=(4,), dropout=(0.0,), max_norm=(0.0,), lr=0.5, momentum=0.9, batch=1, max_steps=1, epochs=5)
+    got, layers = net.fit(df).getOrDefault("weights"), [3, 4, 1]
+    rng, flat = np.random.default_rng(1), np.zeros(mlp._size([3, 4, 1]))
+    for w, _ in mlp._unpack(flat, layers):
+        w[:] = rng.uniform(-1, 1, w.shape) * np.sqrt(6.0 / sum(w.shape))
+    v = np.zeros_like(flat)
+    for _ in range(5):
+        v = 0.9 * v - 0.5 * mlp._gradient(flat, layers, x.astype(float), y, np.ones(50), (0.0,))
+        flat = flat + v
+    assert got == pytest.approx(flat.tolist(), abs=1e-9)
+
+
+def test_rows_shuffle_once_in_windows(spark, tmp_path):
+    """The window and the join to the bucket totals share one partitioning; NULL groups cost nothing."""
+    from needlestack.operators.ordered import hashed_ordinal, with_bucket
+    spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") / 1000).alias("v"), F.col("id").alias("n")).write.parquet(
+        str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        count = lambda made: made._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        assert count(running(with_bucket(df, "v", [0.2, 0.5]), ["g"], "v", sums=["n"])) == 4
+        assert count(running(with_bucket(df, "v", []), ["g"], "v", sums=["n"])) == 3
+        assert count(hashed_ordinal(df.withColumn("seed", F.lit(1)), ["seed", "g"], "n", "seed")) == 4
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
