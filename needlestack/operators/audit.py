@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .metrics import _agg
 from .skew import join_small
+from .summed import array_sum
 
 
 def missing_audit(df: DataFrame, cols: Sequence[str], by: str = "source") -> DataFrame:
@@ -19,12 +22,34 @@ def missing_audit(df: DataFrame, cols: Sequence[str], by: str = "source") -> Dat
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Lower triangle of the Pearson matrix; each pair uses the rows where both are present."""
-    pairs = [(b, a) for a, b in combinations(cols, 2)]
-    row = df.agg(*[F.corr(f1, f2).alias(f"c{i}") for i, (f1, f2) in enumerate(pairs)])
-    cells = [F.struct(F.lit(f1).alias("f1"), F.lit(f2).alias("f2"), F.col(f"c{i}").alias("corr"))
-             for i, (f1, f2) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*cells)))
+    """Lower triangle of the Pearson matrix; each pair uses the rows where both are present.
+
+    One pass sums products of whole blocks of rows, with a mask of what is present: counts, sums, squares and
+    products of all pairs at once. Values are shifted by their column's mean first, so nothing cancels. NULL and
+    NaN are missing; a pair without variance has no correlation.
+    """
+    d, names = len(cols), list(cols)
+    if d < 2:
+        return df.sparkSession.createDataFrame([], "f1 string, f2 string, corr double")
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in names]
+    middle = np.array([m or 0.0 for m in df.agg(*[F.avg(v) for v in values]).first()])
+
+    def of_batch(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64) - middle
+        there = ~np.isnan(x)
+        x, m = np.where(there, x, 0.0), there.astype(np.float64)
+        return np.concatenate([g.ravel() for g in (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)])
+
+    n, s, q, xy = array_sum(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]), of_batch, 4 * d * d).reshape(4, d, d)
+    rows = []
+    for j, i in combinations(range(d), 2):
+        if not n[i, j]:
+            rows.append((names[i], names[j], None))
+            continue
+        var = (q[i, j] - s[i, j] ** 2 / n[i, j]) * (q[j, i] - s[j, i] ** 2 / n[i, j])
+        flat = min(q[i, j] - s[i, j] ** 2 / n[i, j] - 1e-12 * q[i, j], q[j, i] - s[j, i] ** 2 / n[i, j] - 1e-12 * q[j, i]) <= 0
+        rows.append((names[i], names[j], None if flat else float((xy[i, j] - s[i, j] * s[j, i] / n[i, j]) / np.sqrt(var))))
+    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, corr double")
 
 
 def column_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:

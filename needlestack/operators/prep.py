@@ -278,3 +278,22 @@ def class_weights(df: DataFrame, label: str, mode: str | Mapping[int, float] | f
     else:
         pos, neg = float(mode), 1.0
     return df.withColumn(out, F.when(y, F.lit(pos)).otherwise(F.lit(neg)))
+
+
+class ClassWeights(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Weighs the positives with a number against 1; rows without a label, as in scoring, weigh 1."""
+
+    label = Param(Params._dummy(), "label", "label column", TypeConverters.toString)
+    weight = Param(Params._dummy(), "weight", "weight of the positives", TypeConverters.toFloat)
+    out = Param(Params._dummy(), "out", "weight column", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, label: str = "label", weight: float = 1.0, out: str = "weight"):
+        super().__init__()
+        self._set(label=label, weight=weight, out=out)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        label, weight, out = (self.getOrDefault(p) for p in (self.label, self.weight, self.out))
+        if label not in dataset.columns:
+            return dataset.withColumn(out, F.lit(1.0))
+        return class_weights(dataset, label, weight, out)

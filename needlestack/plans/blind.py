@@ -7,11 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, functions as F
 
+from ..learners import trees
 from ..learners.scores import score
 from ..operators.catalog import catalog_match, threshold_split
-from ..operators.prep import MedianImputer, pca, scaler_stages
+from ..operators.prep import ClassWeights, MedianImputer, pca, scaler_stages
 from ..sources.catalogs import read_id_list, write_ids
-from .search import best_trial
+from .search import best_trial, run_trials, trial_table
+from .shared import FoldFrames, boosted_objective
+from .spaces import split_weights
+from .trials import TrialLog
 
 
 def standard_pipeline(cols: Sequence[str], learner, scaler: str = "standard",
@@ -56,8 +60,35 @@ def tune_refit(make: Callable[[Mapping], object], trials: DataFrame, train: Data
     as many: the refit has more rows than a fold had.
     """
     best = best_trial(trials).first()
+    if best is None:
+        raise ValueError("no trial of the table has a loss")
     attached = dict(best["attachments"])
     params = {**best["params"], **{k: v for k, v in attached.items() if k != "best_n"}}
     if "best_n" in attached:
         params["n_estimators"] = int(growth * float(attached["best_n"]))
     return make(params).fit(train)
+
+
+def tuned_blind_scoring(train: DataFrame, target: DataFrame, new: DataFrame, candidates: DataFrame,
+                        not_in_cat: DataFrame, cols: Sequence[str], label: str, id_col: str, sets: Sequence[Mapping],
+                        fold: str = "fold", k: int = 4, rounds: int = 10_000, patience: int = 50, t: float = 0.5,
+                        growth: float = 1.25, seed: int = 1, scale: bool = True, log: TrialLog | None = None,
+                        probe: str | None = None, key_field: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trials, one row of matches): tune boosted trees, stop each fold early, refit, score, match.
+
+    Every set of `sets` is cross-validated on the same folds and statistics. The best one is refitted on all of
+    `train`, imputed and scaled by its own statistics, with `growth` times the largest best round of its folds.
+    """
+    frames = FoldFrames(train, cols, fold, k, label, scale)
+    trials = trial_table(train.sparkSession, run_trials(boosted_objective(frames, rounds, patience, seed), list(sets), log=log))
+    n = train.count()
+
+    def refit(params: Mapping):
+        learner, weight = split_weights(params)
+        gbt = trees.boosted_trees({**learner, "seed": seed}, n_rows=n, labelCol=label, weightCol="weight")
+        return Pipeline(stages=[ClassWeights(label=label, weight=float(weight)),
+                                *standard_pipeline(cols, gbt, "standard" if scale else "none").getStages()])
+    cells = ("tn", "fp", "fn", "tp")
+    kept = trials.withColumn("attachments", F.map_filter("attachments", lambda name, _: ~name.isin(*cells)))
+    scored = score(tune_refit(refit, kept, train, growth), target).select(id_col, "p")
+    return trials, catalog_match(scored, new, candidates, not_in_cat, id_col, "p", t, "drop", probe, key_field)

@@ -20,35 +20,53 @@ from ..operators.split import stratified_folds
 from ..sources.scratch import materialize
 from .evaluate import cv_score, metric_value
 from .spaces import Choice, draw
+from .trials import DONE, FAILED, TrialLog
 
-TRIAL_SCHEMA = "trial_id long, params map<string,double>, loss double, attachments map<string,string>"
+TRIAL_SCHEMA = ("trial_id long, params map<string,double>, loss double, attachments map<string,string>, "
+                "status string, error string")
 LARGER_IS_BETTER = {"f1", "f1_weighted", "accuracy", "roc_auc", "ap"}
 
 
 def trial_table(spark: SparkSession, trials: Sequence[Mapping]) -> DataFrame:
-    """Trial rows; parameters that are not numbers go to attachments as text."""
+    """Trial rows; parameters that are not numbers go to attachments as text. A failed trial has no loss."""
     rows = []
     for i, t in enumerate(trials):
         number = {k: float(v) for k, v in t["params"].items() if isinstance(v, (int, float))}
         text = {k: str(v) for k, v in t["params"].items() if k not in number}
         text.update({k: str(v) for k, v in t.get("attachments", {}).items()})
-        rows.append((i, number, float(t["loss"]), text))
+        loss = t["loss"]
+        rows.append((i, number, None if loss is None else float(loss), text, t.get("status", DONE), t.get("error")))
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """The trial with the smallest loss, the earliest on ties."""
-    return trials.orderBy("loss", "trial_id").limit(1)
+    """The trial with the smallest loss, the earliest on ties; failed ones don't count."""
+    return trials.where(F.col("loss").isNotNull()).orderBy("loss", "trial_id").limit(1)
 
 
-def run_trials(objective: Callable[[dict], Mapping], sets: Sequence[dict],
-               parallelism: int = PARALLELISM) -> list[dict]:
-    def one(params):
+def as_trial(objective: Callable[[dict], Mapping | float], params: dict, log: TrialLog | None = None) -> dict:
+    """One trial: read from the log if it is there, else run and logged. A failure is a trial without a loss."""
+    known = log.find(params) if log else None
+    if known:
+        return {"params": params, **known}
+    try:
         out = objective(params)
         out = out if isinstance(out, Mapping) else {"loss": out}
-        return {"params": params, "loss": out["loss"], "attachments": out.get("attachments", {})}
+        trial = {"params": params, "loss": None if out["loss"] is None else float(out["loss"]),
+                 "attachments": out.get("attachments", {}), "status": DONE, "error": None}
+    except Exception as e:
+        trial = {"params": params, "loss": None, "attachments": {}, "status": FAILED, "error": f"{type(e).__name__}: {e}"[:1000]}
+    if log:
+        log.add(trial)
+    return trial
+
 
-    return in_flight(one, sets, parallelism)
+def run_trials(objective: Callable[[dict], Mapping], sets: Sequence[dict],
+               parallelism: int = PARALLELISM, log: TrialLog | None = None) -> list[dict]:
+    done = in_flight(lambda params: as_trial(objective, params, log), sets, parallelism)
+    if done and all(t["status"] == FAILED for t in done):
+        raise RuntimeError(f"every trial failed, the first with {done[0]['error']}")
+    return done
 
 
 def cv_objective(make: Callable[[dict], object], df: DataFrame, fold: str, k: int, label: str,
@@ -68,17 +86,18 @@ def holdout_objective(make, train: DataFrame, test: DataFrame, label: str, metri
     return objective
 
 
-def grid_search(spark, objective, grid: Mapping[str, Sequence], parallelism: int = PARALLELISM) -> DataFrame:
+def grid_search(spark, objective, grid: Mapping[str, Sequence], parallelism: int = PARALLELISM,
+                log: TrialLog | None = None) -> DataFrame:
     names = list(grid)
     sets = [dict(zip(names, values)) for values in product(*[grid[n] for n in names])]
-    return trial_table(spark, run_trials(objective, sets, parallelism))
+    return trial_table(spark, run_trials(objective, sets, parallelism, log))
 
 
 def random_search(spark, objective, space: Mapping, n_iter: int, seed: int = 1,
-                  parallelism: int = PARALLELISM) -> DataFrame:
+                  parallelism: int = PARALLELISM, log: TrialLog | None = None) -> DataFrame:
     rng = np.random.default_rng(seed)
     sets = [draw(space, rng) for _ in range(n_iter)]
-    return trial_table(spark, run_trials(objective, sets, parallelism))
+    return trial_table(spark, run_trials(objective, sets, parallelism, log))
 
 
 def nested_random_search(make, df: DataFrame, label: str, id_col: str, space: Mapping, n_iter: int,
@@ -95,7 +114,7 @@ def nested_random_search(make, df: DataFrame, label: str, id_col: str, space: Ma
             stratified_folds(train, label, id_col, inner_k, [seed]).withColumnRenamed("fold", "inner"),
             "inner")
         done = run_trials(cv_objective(make, inner, "inner", inner_k, label, metric), sets, 1)
-        best = min(done, key=lambda t: t["loss"])
+        best = min(done, key=_rank)
         model = make(best["params"]).fit(inner)
         value = metric_value(score(model, df.where(F.col(outer) == f)), metric, label).first()["value"]
         number = {p: float(v) for p, v in best["params"].items() if isinstance(v, (int, float))}
@@ -106,6 +125,10 @@ def nested_random_search(make, df: DataFrame, label: str, id_col: str, space: Ma
         rows, "fold int, inner_loss double, outer_value double, params map<string,double>")
 
 
+def _rank(trial: Mapping) -> float:
+    return math.inf if trial["loss"] is None else trial["loss"]
+
+
 # ---------------------------------------------------------------- adaptive search
 
 def _log_density(points: np.ndarray, at: np.ndarray, span) -> np.ndarray:
@@ -141,7 +164,7 @@ def _propose(name, dist, good, bad, rng, candidates):
 
 
 def _next_set(space, done, rng, share, candidates):
-    ranked = sorted(done, key=lambda t: t["loss"])
+    ranked = sorted(done, key=_rank)
     n_good = max(1, int(math.ceil(share * len(ranked))))
     good, bad = ranked[:n_good], ranked[n_good:]
 
@@ -161,13 +184,14 @@ def _next_set(space, done, rng, share, candidates):
 
 def adaptive_search(spark, objective, space: Mapping, n_trials: int, batch: int = 5,
                     startup: int = 10, seed: int = 1, share: float = 0.25, candidates: int = 24,
-                    parallelism: int = PARALLELISM) -> DataFrame:
+                    parallelism: int = PARALLELISM, log: TrialLog | None = None) -> DataFrame:
     """Rounds of trials drawn where good losses are dense (Bergstra et al., 2011).
 
     The first `startup` sets are random. Each later round draws `batch` sets from the
     ratio of densities of the best `share` of trials and the rest, parameter by
     parameter; a parameter of an absent branch does not count. The last set of a round
-    is random, so a branch that started badly is still tried.
+    is random, so a branch that started badly is still tried. With a `log`, a search that
+    was ended goes on from the trials in it and ends in the same table.
     """
     rng = np.random.default_rng(seed)
     done: list[dict] = []
@@ -179,5 +203,5 @@ def adaptive_search(spark, objective, space: Mapping, n_trials: int, batch: int
                     for _ in range(min(batch, n_trials - len(done)))]
             if len(sets) > 1:
                 sets[-1] = draw(space, rng)
-        done += run_trials(objective, sets, parallelism)
+        done += run_trials(objective, sets, parallelism, log)
     return trial_table(spark, done)

@@ -79,6 +79,17 @@ def sample_space(space: Mapping, n: int, seed: int = 1) -> list[dict]:
     return [draw(space, rng) for _ in range(n)]
 
 
+def split_weights(params: Mapping) -> tuple[dict, object]:
+    """A trial's learner parameters, and its class weights as `class_weights` takes them.
+
+    scale_pos_weight, or a number as class_weight, weighs the positives against 1; without either all rows weigh 1."""
+    learner = {k: v for k, v in params.items() if k not in ("scale_pos_weight", "class_weight")}
+    given = [params[k] for k in ("scale_pos_weight", "class_weight") if params.get(k) is not None]
+    if len(given) > 1:
+        raise ValueError("give scale_pos_weight or class_weight, not both")
+    return learner, given[0] if given else 1.0
+
+
 # Search ranges of the presets.
 PRESETS = {
     "gbt_f1": {

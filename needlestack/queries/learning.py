@@ -20,7 +20,7 @@ from ..learners.mlp import DenseNetwork, network_from_trial, network_history
 from ..learners.scores import score
 from ..learners.stacking import Stacking, stacked_columns
 from ..operators import metrics, prep, split, votes
-from ..plans import blind, evaluate, search, spaces
+from ..plans import blind, evaluate, search, shared, spaces
 from ..sources import materialize, scratch_path
 from .frames import FEATURES, FF_SQL, SCORED_SQL, TEXT_FEATURES, docs, ff, scored, table
 from .relational import _SETS, _catalogs, _scored_folds, r6
@@ -614,3 +614,60 @@ def stacking_base_frame(spark, sf):
     _, stacked = Stacking([base], None, "rare", "row_id").fit_bases(ff(spark, sf))
     return stacked.agg(F.count(F.lit(1)).alias("n"), F.sum("rare").alias("positives"),
                        F.round(F.avg("base_0"), 4).alias("mean_base"))
+
+
+_TUNED = f"""WITH {SCORED_SQL}, {_SETS},
+fo AS (SELECT *, CAST((row_number() OVER (PARTITION BY rare ORDER BY md5(concat('1:', row_id)), row_id) - 1) % 4 AS INTEGER)
+       AS fold FROM scored),
+ws AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 20.0::DOUBLE), (2, 60.0::DOUBLE)) AS v(trial, w)),
+long AS (SELECT trial, f, rare AS y, CASE WHEN rare = 1 THEN w ELSE 1.0::DOUBLE END AS s, feature, x
+         FROM (SELECT * FROM fo UNPIVOT (x FOR feature IN (p, p_discount, p_tax))), ws,
+              (SELECT unnest([0, 1, 2, 3, 4]) AS f) WHERE fold <> f),
+v AS (SELECT trial, f, feature, x, sum(s) AS n, sum(y * s) AS m FROM long GROUP BY ALL),
+k AS (SELECT trial, f, feature, (x + lead(x) OVER w) / 2 AS t, sum(n) OVER w AS nl, sum(m) OVER w AS ml,
+             sum(n) OVER (PARTITION BY trial, f, feature) AS n, sum(m) OVER (PARTITION BY trial, f, feature) AS m
+      FROM v WINDOW w AS (PARTITION BY trial, f, feature ORDER BY x)),
+q AS (SELECT *, nl / n * (ml / nl) * (1 - ml / nl) + (n - nl) / n * ((m - ml) / (n - nl)) * (1 - (m - ml) / (n - nl))
+             AS impurity FROM k WHERE t IS NOT NULL),
+best AS (SELECT trial, f, feature, t, ml / nl > 0.5 AS low, (m - ml) / (n - nl) > 0.5 AS high FROM q
+         QUALIFY row_number() OVER (PARTITION BY trial, f ORDER BY impurity, feature) = 1),
+hit AS (SELECT trial, f, row_id, fold, rare AS y, CASE WHEN CASE feature WHEN 'p' THEN p WHEN 'p_discount' THEN p_discount
+        ELSE p_tax END <= t THEN low ELSE high END AS z FROM fo, best),
+tr AS (SELECT trial, sum(CASE WHEN y = 1 AND z THEN 1 ELSE 0 END)::BIGINT AS tp,
+              sum(CASE WHEN (y = 1) <> z THEN 1 ELSE 0 END)::BIGINT AS wrong FROM hit WHERE f = fold GROUP BY trial),
+won AS (SELECT trial, w, 1 - coalesce(2 * tp / nullif(2.0::DOUBLE * tp + wrong, 0), 0) AS loss FROM tr JOIN ws USING (trial)
+        ORDER BY loss, trial LIMIT 1)"""
+
+
+@query(f"""{_TUNED},
+f AS (SELECT DISTINCT split_part(row_id, '-', 1) AS id FROM hit JOIN won USING (trial) WHERE f = 4 AND z),
+mi AS (SELECT DISTINCT split_part(row_id, '-', 1) AS id FROM hit JOIN won USING (trial) WHERE f = 4 AND NOT z),
+c AS (SELECT (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM mi) AS nm,
+        (SELECT count(*) FROM f JOIN truth USING (id)) AS tp, (SELECT count(*) FROM mi JOIN truth USING (id)) AS fn,
+        (SELECT count(*) FROM f JOIN news USING (id)) AS new_found)
+SELECT w AS weight, 1::BIGINT AS best_n, round(loss, 6) AS loss, new_found, nm - fn AS tn, nf - tp AS fp, fn, tp,
+       round(tp / nullif(nf, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
+       round(2 * tp / nullif(2 * tp + (nf - tp) + fn, 0), 6) AS f1 FROM c, won""")
+def tuned_blind_scoring(spark, sf):
+    """Search, stop every fold early, refit the best set, score, match: one split a tree has one exact answer."""
+    df = scored(spark, sf).drop("p_price", "y")
+    df = materialize(split.stratified_folds(df, "rare", "row_id", 4).drop("seed"), "tuned")
+    target = df.withColumn("order_id", F.split_part("row_id", F.lit("-"), F.lit(1)))
+    sets = [{"max_depth": 1, "max_bins": 64, "scale_pos_weight": w} for w in (1.0, 20.0, 60.0)]
+    trials, out = blind.tuned_blind_scoring(
+        df, target, *_catalogs(spark, sf), ["p", "p_discount", "p_tax"], "rare", "order_id", sets, rounds=1, patience=1,
+        scale=False)
+    best = search.best_trial(trials).select(
+        F.col("params")["scale_pos_weight"].alias("weight"), F.col("attachments")["best_n"].cast("long").alias("best_n"),
+        r6("loss", "loss"))
+    matched = out.drop("probe_found").withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+    return best.join(matched)       # one row each
+
+
+@query()
+def shared_search_trials(spark, sf):
+    """Trials on statistics of the folds that all of them share."""
+    frames = shared.FoldFrames(_docs(spark, sf, 3), TEXT_FEATURES, "fold", 3, "y")
+    sets = [{"max_depth": d, "class_weight": w} for d in (1, 2, 3) for w in (1.0, 6.0)]
+    make = lambda p: trees.decision_tree({**p, "seed": 1}, labelCol="y", weightCol="weight")
+    return shared.shared_search(make, frames, sets)
