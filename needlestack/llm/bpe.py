@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import struct
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 
 import numpy as np
@@ -286,9 +288,18 @@ class Decoder:
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as soon as its characters are whole. The incremental UTF-8 machine holds back the
         bytes of an unfinished character; bytes that can't be UTF-8 become U+FFFD."""
+        return self._machine(map(self.table.__getitem__, ids))
+
+    def blocks(self, packed: bytes, block: int = 8192) -> Iterator[str]:
+        """As `stream`, from packed ids, `block` of them at a time; a block may end inside a character."""
+        size = 4 * block
+        return self._machine(self.bytes_of(packed[at:at + size]) for at in range(0, len(packed), size))
+
+    @staticmethod
+    def _machine(parts: Iterable[bytes]) -> Iterator[str]:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            text = machine.decode(self.table[i])
+        for part in parts:
+            text = machine.decode(part)
             if text:
                 yield text
         rest = machine.decode(b"", final=True)
@@ -296,6 +307,18 @@ class Decoder:
             yield rest
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: states and pieces are many and hold none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _once(made: dict, key, make):
     if key not in made:
         made[key] = make()
@@ -333,12 +356,19 @@ def _mapped(docs, ranks, pattern, id_col, text_col, digests):
         decoder = _once(_worker, (ranks, "decoder"), lambda: Decoder(merges))
         for batch in batches:
             columns: list[list] = [[] for _ in fields]
-            for text in batch.column(1):
-                ids = encoder.packed(text.as_py())
-                back = decoder.bytes_of(ids)
-                row = (len(ids) // 4, sha256(ids).hexdigest(), sha256(back).hexdigest()) if digests else (ids, back)
-                for column, value in zip(columns, row):
-                    column.append(value)
+            with uncollected():
+                for text in batch.column(1):
+                    ids = encoder.packed(text.as_py())
+                    back = [part.encode() for part in decoder.blocks(ids)]
+                    if digests:
+                        digest = sha256()
+                        for part in back:
+                            digest.update(part)
+                        row = len(ids) // 4, sha256(ids).hexdigest(), digest.hexdigest()
+                    else:
+                        row = ids, b"".join(back)
+                    for column, value in zip(columns, row):
+                        column.append(value)
             kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
