@@ -8,8 +8,9 @@ minimisers, so they meet in one bucket, where sorting the windows counts them ex
 1. Count minimisers. A window can only repeat if its minimiser does, so one bit per hash
    of a repeated minimiser goes to all tasks (at most `filter_bits` bits; with more
    repeated minimisers the filter passes more, and the result stays the same).
-2. Packed strings that pass travel to their buckets, equal ones of one batch as one row
-   with a count. A bucket is read in sorted order, and its windows are sorted in chunks.
+2. A second pass over the texts writes the packed strings that pass, equal ones of one batch
+   as one row with a count, and where each comes from. The strings travel to their buckets.
+   A bucket is read in sorted order, and its windows are sorted in chunks.
    A minimiser with more words than a chunk may hold hands its windows on to a shuffle
    by window instead.
 3. Each packed string gets a mask of its repeated windows; documents look theirs up and
@@ -91,16 +92,21 @@ def _travelling(text: str | None, bits: np.ndarray, window: int, seed: int) -> I
         yield int(minimisers[i].view(np.int64)), int(first[i]), b" ".join(words[first[i]:end[i] + window - 1])
 
 
-def _packed(docs: DataFrame, held, window: int, seed: int) -> DataFrame:
-    """(m, key, words, n): packed strings on their way to the buckets; equal ones of a batch once."""
+TRAVEL_SCHEMA = "k1 long, k2 long, key binary, first int, m long, words binary, n long"
+
+
+def _travel(docs: DataFrame, held, window: int, seed: int) -> DataFrame:
+    """Packed strings on their way to the buckets (m, key, words, n), equal ones of a batch once, and, without
+    words, where each of them comes from (k1, k2, key, first): one pass over the texts."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, dtype=np.uint64)
         for batch in batches:
             rows: dict[bytes, list] = {}
-            size = 0
-            for text in batch.column(0):
-                for m, _, words in _travelling(text.as_py(), bits, window, seed):
+            size, places, keys, first = 0, [], [], []
+            for i, text in enumerate(batch.column(2)):
+                for m, start, words in _travelling(text.as_py(), bits, window, seed):
                     key = xxhash.xxh3_128_digest(words)
+                    places.append(i), keys.append(key), first.append(start)
                     if key in rows:
                         rows[key][2] += 1
                     else:
@@ -111,14 +117,23 @@ def _packed(docs: DataFrame, held, window: int, seed: int) -> DataFrame:
                     rows, size = {}, 0
             if rows:
                 yield _rows(rows)
-    return docs.select("text").mapInArrow(pack, "m long, key binary, words binary, n long")
+            if keys:
+                at = pa.array(places, pa.int64())
+                none = lambda kind: pa.nulls(len(keys), kind)
+                yield _batch(batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary()),
+                             pa.array(first, pa.int32()), none(pa.int64()), none(pa.binary()), none(pa.int64()))
+    return docs.select("k1", "k2", "text").mapInArrow(pack, TRAVEL_SCHEMA)
+
+
+def _batch(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["k1", "k2", "key", "first", "m", "words", "n"])
 
 
 def _rows(rows: dict[bytes, list]) -> pa.RecordBatch:
     m, words, n = zip(*rows.values())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(m, pa.int64()), pa.array(list(rows), pa.binary()), pa.array(words, pa.binary()),
-         pa.array(n, pa.int64())], names=["m", "key", "words", "n"])
+    none = lambda kind: pa.nulls(len(rows), kind)
+    return _batch(none(pa.int64()), none(pa.int64()), pa.array(list(rows), pa.binary()), none(pa.int32()),
+                  pa.array(m, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64()))
 
 
 def _windows(rows: list[tuple[int, bytes, bytes, int]], window: int):
@@ -213,22 +228,6 @@ def _count_in_buckets(packed: DataFrame, window: int, group_words: int) -> DataF
     return single.unionByName(late)
 
 
-def _places(docs: DataFrame, held, window: int, seed: int) -> DataFrame:
-    """(k1, k2, key, first): where each packed string that travelled comes from."""
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, dtype=np.uint64)
-        for batch in batches:
-            rows, keys, first = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                for _, start, words in _travelling(text.as_py(), bits, window, seed):
-                    rows.append(i), keys.append(xxhash.xxh3_128_digest(words)), first.append(start)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary()),
-                 pa.array(first, pa.int32())], names=["k1", "k2", "key", "first"])
-    return docs.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, key binary, first int")
-
-
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                  seed: int = SEED, filter_bits: int = FILTER_BITS, group_words: int = GROUP_WORDS) -> DataFrame:
     """(row, n_words, n_removed, kept): `row` holds the other columns, `kept` the words that are left,
@@ -242,9 +241,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = materialize(_count_minimisers(rows, window, seed).where("n > 1").select("m"), "repeated_minimisers")
     bits = bit_filter(repeated, "m", filter_bits)
     held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    masks = _count_in_buckets(_packed(rows, held, window, seed), window, group_words)
+    travelled = materialize(_travel(rows, held, window, seed), "super_kmers")
+    packed = travelled.where("words IS NOT NULL").select("m", "key", "words", "n")
+    masks = _count_in_buckets(packed, window, group_words)
+    places = travelled.where("words IS NULL").select("k1", "k2", "key", "first")
     # A row that occurs twice has equal keys; its masks are the same, so one set of them serves both.
-    found = _places(rows, held, window, seed).join(masks, "key").groupBy("k1", "k2").agg(
+    found = places.join(masks, "key").groupBy("k1", "k2").agg(
         F.collect_set(F.struct("first", "mask")).alias("found"))
     together = rows.join(found, ["k1", "k2"], "left").select("row", "text", "found.first", "found.mask")
     schema = T.StructType([together.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept string")])
