@@ -265,7 +265,7 @@ def drop_repeated(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", tex
     without the repeated lines."""
     others = [c for c in docs.columns if c != text_col]
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*others).alias("row"), text.alias("text"), *row_key(F.col(id_col), text))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), *row_key(F.col(id_col), text))
     found = index.repeated(rows)
     together = rows.join(found, ["k1", "k2"], "left").select("row", "text", "keys")
     schema = T.StructType([together.schema["row"], T.StructField("n_lines", T.LongType()),

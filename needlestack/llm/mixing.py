@@ -127,6 +127,7 @@ def take(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str
          source_col: str = "source") -> DataFrame:
     """The mixed table: every document as often as the plan of `mix` says."""
     key = F.struct(*row_key(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col).cast("string")))
-    copies = plan.where("copies > 0 AND row = 1").select(F.struct("k1", "k2").alias("__k"), "copies")
-    out = docs.withColumn("__k", key).join(copies, "__k")
-    return out.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+    copies = plan.where("copies > 0 AND row = 1").select(F.struct("k1", "k2").alias("k"), "copies")
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return rows.join(copies, "k").select("row", every.alias("nth")).select("row.*")

@@ -31,16 +31,17 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Documents without words all stay. A row without an id comes after those with one, by its row key.
     """
     found = similar_components(docs, shingle=5, threshold=(4, 5))
-    free = F.col("n_shingles") == 0
-    kept = found.where(~free).groupBy("component").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("k")).select("k.k1", "k.k2", F.lit(True).alias("once"))
-    kept = kept.unionByName(found.where(free).select("k1", "k2", F.lit(False).alias("once")).distinct())
-    key = row_key(F.col("doc_id"), F.col("text").cast("string"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    out = docs.select(row, *key).join(kept, ["k1", "k2"])
-    # Rows that repeat share a key: the first by all columns stays, unless they are of those that all stay.
-    again = F.when(F.col("once"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
-    return out.withColumn("again", again).groupBy("k1", "k2", "again").agg(F.min("row").alias("row")).select("row.*")
+    kept = found.where("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    text = F.col("text").cast("string")
+    key = row_key(F.col("doc_id"), text)
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows that repeat share a key: the first by its other columns stays. As text, maps have an order as well.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others, F.lit(0).alias("end")), {"ignoreNullFields": "false"})
+    rows = docs.where(worded).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, order.alias("order"))
+    first = rows.join(kept, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return first.unionByName(docs.where(~worded))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
