@@ -56,3 +56,17 @@ def test_blocks_of_any_size_decode_alike():
         for block in (1, 2, 3, 8192):
             assert "".join(back.blocks(packed, block)) == text
     assert "".join(back.blocks(own.packed("🙂")[:4])) == "�"
+
+
+def test_ascii_texts_are_cut_alike():
+    import random
+
+    import public_tokenizers as tokenizers
+    merges = bpe.Merges.from_file(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = bpe.Encoder(merges, tokenizers.PATTERN)
+    assert own.cut_ascii != own.cut_any
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("abZ'stremvl d019 \t\n\r\v\f\x1c\x1f\x00\x7f.,!_-") for _ in range(rng.randint(0, 30)))
+        assert own.cut_ascii(text) == own.cut_any(text), text
+    assert bpe.ascii_pattern(r"\p{Lu}+") is None
