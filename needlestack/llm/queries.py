@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import encode_digests
 from .counts import count_tokens
 from . import language
-from .fingerprint import containment, edited, fingerprints, likeness, printed, sketch, with_next
+from .fingerprint import containment, edited, likeness, measured, printed, sketch, with_next
 from .lines import LineIndex, drop_repeated
 from .mixing import mix
 from .periodic import listed, longest_run, periodic_runs, with_periodic_tail
@@ -60,8 +60,8 @@ FROM p
 
 
 def op2_fingerprints(spark, sf):
-    own = fingerprints(documents(spark, sf, "doc_id", "text"))
-    rows = with_next(own, ["text", "sketch"], ["id", "text"])
+    own = measured(documents(spark, sf, "doc_id", "text"))
+    rows = with_next(own, ["text", "sketch"], ["id", "text"], made={"sketch": sketch(F.col("text"))})
     rows = rows.select("id", "n_chars", "sketch", "next_sketch",
                        edited(F.col("text"), F.col("n_chars"), F.col("next_text")).alias("edited"))
     rows = rows.select("*", sketch(F.col("edited")).alias("edited_sketch"))
