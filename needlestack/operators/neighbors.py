@@ -143,7 +143,6 @@ def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
 
     `payload` columns of the train row come along. Ties break by neighbour id.
     """
-    spark = train.sparkSession
     payload = list(payload)
     wide = F.col(vec).cast("array<double>").alias("vec")
     t = train.select(F.col(id_col).alias("id"), wide, *payload)
@@ -160,6 +159,21 @@ def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
         t, q, counts = _partition(t, q, need, cells)
         q = q.withColumn("cell", F.explode("cells")).drop("cells")
         loads = {r["cell"]: r["m"] for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}
+    out = _result(query.schema[id_col].dataType, train.schema[id_col].dataType, train, payload)
+    return _meet(t, q, counts, loads, k, exclude_self, payload, out, block_rows, query_rows)
+
+
+def _result(query_id: T.DataType, train_id: T.DataType, train: DataFrame, payload: Sequence[str]) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", query_id), T.StructField("neighbor_id", train_id),
+        T.StructField("distance", T.DoubleType()),
+        *[T.StructField(c, train.schema[c].dataType) for c in payload]])
+
+
+def _meet(t: DataFrame, q: DataFrame, counts, loads: dict[int, int], k: int, exclude_self: bool,
+          payload: Sequence[str], schema: T.StructType, block_rows: int, query_rows: int) -> DataFrame:
+    """Rows and queries of each cell compared in chunks, and the k nearest of all chunks."""
+    spark = t.sparkSession
     plan = spark.createDataFrame(
         [(c, int(max(1, -(-counts[c] // block_rows))), int(max(1, -(-m // query_rows))))
          for c, m in loads.items()], "cell int, t_chunks int, q_chunks int")
@@ -173,11 +187,6 @@ def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
 
     tq = spread(t, "tc", "t_chunks", "qc", "q_chunks")
     qq = spread(q, "qc", "q_chunks", "tc", "t_chunks")
-    id_type, out_id = query.schema[id_col].dataType, train.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField("query_id", id_type), T.StructField("neighbor_id", out_id),
-        T.StructField("distance", T.DoubleType()),
-        *[T.StructField(c, train.schema[c].dataType) for c in payload]])
     keys = ["cell", "tc", "qc"]
     near = qq.groupBy(*keys).cogroup(tq.groupBy(*keys)).applyInPandas(
         lambda a, b: _block_nearest(a, b, k, exclude_self, payload), schema)
