@@ -6,14 +6,15 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.neighbors import inverse_distance, nearest
+from ..operators.neighbor_index import NeighborIndex
+from ..operators.neighbors import inverse_distance
 
 
 class KNNClassifier(Estimator):
     """Inverse-distance vote of the k nearest training rows; distance 0 decides alone.
 
-    Fitting keeps a reference to the training rows; scoring is an exact distributed
-    neighbour search and an equi-join back on the id.
+    Fitting writes a neighbour index; scoring is an exact search in it, which runs nothing of
+    the training side again, and an equi-join back on the id. `index.path` reopens a model.
     """
 
     def __init__(self, k: int = 5, featuresCol: str = "features", labelCol: str = "label",
@@ -25,19 +26,20 @@ class KNNClassifier(Estimator):
         train = dataset.select(
             F.col(self.idCol).alias("id"), vector_to_array(self.featuresCol).alias("vec"),
             F.col(self.labelCol).cast("double").alias("y"))
-        return KNNClassificationModel(train, self.k, self.featuresCol, self.idCol)
+        index = NeighborIndex.build(train, "vec", "id", ["y"])
+        return KNNClassificationModel(index, self.k, self.featuresCol, self.idCol)
 
 
 class KNNClassificationModel(Model):
-    def __init__(self, train: DataFrame | None = None, k: int = 5, featuresCol: str = "features",
+    def __init__(self, index: NeighborIndex | None = None, k: int = 5, featuresCol: str = "features",
                  idCol: str = "row_id"):
         super().__init__()
-        self.train, self.k, self.featuresCol, self.idCol = train, k, featuresCol, idCol
+        self.index, self.k, self.featuresCol, self.idCol = index, k, featuresCol, idCol
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         query = dataset.select(F.col(self.idCol).alias("id"),
                                vector_to_array(self.featuresCol).alias("vec"))
-        near = nearest(query, self.train, self.k, "vec", "id", payload=["y"])
+        near = self.index.search(query, self.k, "vec", "id", payload=["y"])
         votes = inverse_distance(near, "y", "__p").withColumnRenamed("query_id", self.idCol)
         return (dataset.join(votes, self.idCol)
                 .withColumn("probability", array_to_vector(F.array(1.0 - F.col("__p"), F.col("__p"))))
