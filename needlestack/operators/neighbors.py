@@ -173,12 +173,17 @@ def _result(query_id: T.DataType, train_id: T.DataType, train: DataFrame, payloa
 def _meet(t: DataFrame, q: DataFrame, counts, loads: dict[int, int], k: int, exclude_self: bool,
           payload: Sequence[str], schema: T.StructType, block_rows: int, query_rows: int) -> DataFrame:
     """Rows and queries of each cell compared in chunks, and the k nearest of all chunks."""
-    spark = t.sparkSession
-    plan = spark.createDataFrame(
+    plan = t.sparkSession.createDataFrame(
         [(c, int(max(1, -(-counts[c] // block_rows))), int(max(1, -(-m // query_rows))))
          for c, m in loads.items()], "cell int, t_chunks int, q_chunks int")
-    plan = F.broadcast(plan)
+    near = _compare(t, q, F.broadcast(plan), k, exclude_self, payload, schema)
+    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
 
+def _compare(t: DataFrame, q: DataFrame, plan: DataFrame, k: int, exclude_self: bool, payload: Sequence[str],
+             schema: T.StructType) -> DataFrame:
+    """The k nearest rows of each query in each chunk; `plan` says into how many chunks a cell's two sides are cut."""
     def spread(df, own, own_n, other, other_n):
         return (df.join(plan, "cell")
                 .withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int"))
@@ -188,10 +193,8 @@ def _meet(t: DataFrame, q: DataFrame, counts, loads: dict[int, int], k: int, exc
     tq = spread(t, "tc", "t_chunks", "qc", "q_chunks")
     qq = spread(q, "qc", "q_chunks", "tc", "t_chunks")
     keys = ["cell", "tc", "qc"]
-    near = qq.groupBy(*keys).cogroup(tq.groupBy(*keys)).applyInPandas(
+    return qq.groupBy(*keys).cogroup(tq.groupBy(*keys)).applyInPandas(
         lambda a, b: _block_nearest(a, b, k, exclude_self, payload), schema)
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def inverse_distance(neighbors: DataFrame, label: str, out: str = "p") -> DataFrame:

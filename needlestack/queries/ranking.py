@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import catalog, curves, neighbors, split, votes
+from ..operators.approximate import approximate_nearest
 from ..sources import materialize
 from .frames import SCORED_SQL, scored, table
 from .relational import _FOLDS, _SFOLDS, _scored_folds, r6
@@ -222,6 +223,13 @@ def nearest_neighbors(spark, sf):
         "query_id", "neighbor_id", r6("distance", "distance"), "rank")
 
 
+@query()
+def approximate_neighbors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    near = approximate_nearest(e, e, 6, "embedding", "vec_id", exclude_self=True, bucket_rows=256)
+    return near.select("query_id", "neighbor_id", r6("distance", "distance"), "rank", "probes", r6("recall", "recall"))
+
+
 @query(f"""WITH {_PAIRS} SELECT query_id,
 round(sum(CASE WHEN label = 3 THEN 1 / d ELSE 0 END) / sum(1 / d), 6) AS p FROM near WHERE rank <= 6 GROUP BY 1""")
 def knn_predict(spark, sf):
