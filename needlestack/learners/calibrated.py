@@ -14,6 +14,7 @@ from ..inflight import in_flight
 from ..operators.split import stratified_folds
 from ..sources.scratch import materialize
 from .scores import score
+from .stored import StoredModel, read_part, write_part
 
 
 def sigmoid_fit(df: DataFrame, label: str, p: str, max_iter: int = 100,
@@ -65,11 +66,22 @@ class SigmoidCalibrated(Estimator):
         return SigmoidCalibratedModel(in_flight(one, range(self.k)))
 
 
-class SigmoidCalibratedModel(Model):
+class SigmoidCalibratedModel(Model, StoredModel):
     def __init__(self, members=()):
         super().__init__()
         self.members = list(members)
 
+    def _store(self, spark, path: str) -> None:
+        curves = [(i, slope, intercept) for i, (_, slope, intercept) in enumerate(self.members)]
+        spark.createDataFrame(curves, "member int, slope double, intercept double").coalesce(1).write.parquet(f"{path}/curves")
+        for i, (model, _, _) in enumerate(self.members):
+            write_part(spark, model, f"{path}/member_{i}")
+
+    @classmethod
+    def _restore(cls, spark, path: str, settings: dict) -> "SigmoidCalibratedModel":
+        curves = spark.read.parquet(f"{path}/curves").orderBy("member").collect()
+        return cls([(read_part(spark, f"{path}/member_{r['member']}"), r["slope"], r["intercept"]) for r in curves])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         out = dataset
         for i, (model, slope, intercept) in enumerate(self.members):

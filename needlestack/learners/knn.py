@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.neighbor_index import NeighborIndex
 from ..operators.neighbors import inverse_distance
+from .stored import StoredModel
 
 
 class KNNClassifier(Estimator):
@@ -30,12 +31,24 @@ class KNNClassifier(Estimator):
         return KNNClassificationModel(index, self.k, self.featuresCol, self.idCol)
 
 
-class KNNClassificationModel(Model):
+class KNNClassificationModel(Model, StoredModel):
+    """Scores from the index; a written model holds a copy of it and reads that copy."""
+
     def __init__(self, index: NeighborIndex | None = None, k: int = 5, featuresCol: str = "features",
                  idCol: str = "row_id"):
         super().__init__()
         self.index, self.k, self.featuresCol, self.idCol = index, k, featuresCol, idCol
 
+    def _settings(self) -> dict:
+        return {"k": self.k, "featuresCol": self.featuresCol, "idCol": self.idCol}
+
+    def _store(self, spark, path: str) -> None:
+        self.index.copy_to(f"{path}/index")
+
+    @classmethod
+    def _restore(cls, spark, path: str, settings: dict) -> "KNNClassificationModel":
+        return cls(NeighborIndex(spark, f"{path}/index"), **settings)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         query = dataset.select(F.col(self.idCol).alias("id"),
                                vector_to_array(self.featuresCol).alias("vec"))

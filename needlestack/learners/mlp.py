@@ -19,11 +19,11 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.summed import array_sum
 from ..sources.scratch import scratch_path
+from .stored import StoredModel
 
 MAX_STEPS = 64
 HELD = -1
@@ -223,7 +223,12 @@ def network_history(spark, model) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, metric string, iteration int, value double")
 
 
-class DenseNetworkModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+class DenseNetworkModel(Model, StoredModel):
+    """A fitted network. The losses of its epochs are written as a table, the weights as a parameter."""
+
+    history: Sequence[dict] = ()
+    best_n = 0
+
     layers = Param(Params._dummy(), "layers", "layer sizes", TypeConverters.toListInt)
     weights = Param(Params._dummy(), "weights", "flat weights", TypeConverters.toListFloat)
     featuresCol = Param(Params._dummy(), "featuresCol", "features", TypeConverters.toString)
@@ -233,6 +238,20 @@ class DenseNetworkModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._set(layers=list(layers), weights=list(weights), featuresCol=featuresCol)
 
+    def _settings(self) -> dict:
+        return {"best_n": self.best_n}
+
+    def _store(self, spark, path: str) -> None:
+        network_history(spark, self).coalesce(1).write.parquet(f"{path}/history")
+
+    @classmethod
+    def _restore(cls, spark, path: str, settings: dict) -> "DenseNetworkModel":
+        model, losses = cls(), {}
+        for r in spark.read.parquet(f"{path}/history").orderBy("iteration").collect():
+            losses.setdefault(r["iteration"], {})[r["dataset"]] = r["value"]
+        model.history, model.best_n = list(losses.values()), settings["best_n"]
+        return model
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         layers = self.getOrDefault(self.layers)
         flat = np.array(self.getOrDefault(self.weights))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, functions as F
 
 from ..inflight import in_flight
 from ..operators.split import stratified_split
 from ..sources.scratch import materialize
 from .scores import score
+from .stored import StoredModel, read_part, write_part
 
 
 class Stacking(Estimator):
@@ -55,7 +56,7 @@ def _add_scores(models, df: DataFrame) -> DataFrame:
     return df
 
 
-class StackingModel(Model):
+class StackingModel(Model, StoredModel):
     def __init__(self, models=(), meta=None):
         super().__init__()
         self.models, self.meta = list(models), meta
@@ -63,13 +64,20 @@ class StackingModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.meta.transform(_add_scores(self.models, dataset))
 
-    def save(self, path: str) -> None:
-        """Each part under its own folder; every part must itself be writable."""
+    def _settings(self) -> dict:
+        return {"bases": len(self.models)}
+
+    def _store(self, spark, path: str) -> None:
         for i, m in enumerate(self.models):
-            m.write().save(f"{path}/base_{i}")
-        self.meta.write().save(f"{path}/meta")
+            write_part(spark, m, f"{path}/base_{i}")
+        write_part(spark, self.meta, f"{path}/meta")
+
+    @classmethod
+    def _restore(cls, spark, path: str, settings: dict) -> "StackingModel":
+        bases = [read_part(spark, f"{path}/base_{i}") for i in range(settings["bases"])]
+        return cls(bases, read_part(spark, f"{path}/meta"))
 
     @classmethod
-    def load(cls, path: str, n_bases: int) -> "StackingModel":
-        parts = [PipelineModel.load(f"{path}/base_{i}") for i in range(n_bases)]
-        return cls(parts, PipelineModel.load(f"{path}/meta"))
+    def load(cls, path: str, n_bases: int | None = None) -> "StackingModel":
+        """`n_bases` is written with the model; callers that still name it may."""
+        return super().load(path)

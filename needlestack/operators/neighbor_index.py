@@ -60,6 +60,14 @@ class NeighborIndex:
         rows.repartition("cell", "file").drop("files", "file", "away").write.partitionBy("cell").parquet(f"{path}/rows")
         return cls(spark, path)
 
+    def copy_to(self, path: str) -> "NeighborIndex":
+        """The same index in another folder, copied table by table by the executors; crowded cells keep their files."""
+        for table in ("pivots", "schema", "cells"):
+            self.spark.read.parquet(f"{self.path}/{table}").coalesce(1).write.parquet(f"{path}/{table}")
+        rows = self.spark.read.schema(self._row_schema()).parquet(f"{self.path}/rows")
+        rows.write.partitionBy("cell").parquet(f"{path}/rows")
+        return NeighborIndex(self.spark, path)
+
     def _row_schema(self) -> T.StructType:
         kept = self.spark.read.parquet(f"{self.path}/schema").first()["kept"]
         return T.StructType.fromJson(json.loads(kept))
