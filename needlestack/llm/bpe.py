@@ -162,14 +162,19 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.merges = merges
+        # For a node that was met: its longest proper suffix that is a node; the tokens that end with it, longest
+        # first, with their lengths; and the lengths of those of its suffixes from which a token may still grow.
+        self.link: dict[int, int] = {0: 0}
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
+        self.lives: dict[int, tuple[int, ...]] = {0: (0,)}
+        self.depth: dict[int, int] = {0: 0}
         self._forget()
 
     def _forget(self) -> None:
         # A state is the bytes after the last certain token; for each of their prefixes, where its last token
-        # starts and which it is (for the empty one, the certain token); and the boundaries from which a token
-        # may still grow, with the nodes it has come to.
-        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = [
-            (b"", (0,), (BOS,), (0,), (0,))]
+        # starts and which it is (for the empty one, the certain token); and the node of their longest suffix
+        # with which a token begins. The boundaries from which a token may grow follow from that node.
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], int]] = [(b"", (0,), (BOS,), 0)]
         # States that follow a token by what they are; others have one way to them from one of these.
         self.numbers: dict[tuple[int, bytes], int] = {(BOS, b""): 0}
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -183,44 +188,52 @@ class Transducer:
             end = starts[end]
         return out[::-1]
 
+    def _goto(self, node: int, byte: int) -> int:
+        """The node of the longest suffix of a node's bytes and one more byte."""
+        child, link = self.merges.child, self.link
+        to = child.get(node << 8 | byte)
+        while to is None and node:
+            node = link[node]
+            to = child.get(node << 8 | byte)
+        if to is None:
+            return 0
+        if to not in link:
+            shorter = self._goto(link[node], byte) if node else 0
+            depth, token = self.depth[node] + 1, self.merges.own[to]
+            self.depth[to], link[to] = depth, shorter
+            self.ends[to] = (((depth, token),) if token >= 0 else ()) + self.ends[shorter]
+            self.lives[to] = ((depth,) if self.merges.grows[to] else ()) + self.lives[shorter]
+        return to
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         m = self.merges
-        child, own, grows, known_fits = m.child, m.own, m.grows, m.known_fits
-        tail, starts, last, before_alive, before_nodes = self.states[state]
+        known_fits = m.known_fits
+        tail, starts, last, node = self.states[state]
         tail += BYTES[byte]
         n = len(tail)
-        alive, nodes, begin = [], [], -1
-        for s, node in zip(before_alive, before_nodes):
-            node = child.get(node << 8 | byte)
-            if node is None:
-                continue
-            if grows[node]:
-                alive.append(s)
-                nodes.append(node)
-            if begin < 0:
-                token = own[node]
-                if token >= 0:
-                    left = last[s]
-                    fit = known_fits.get((left, token))
-                    if fit or fit is None and m.fits(left, token):
-                        begin = s
-                        last += (token,)
-        if begin < 0:
+        node = self._goto(node, byte)
+        for length, token in self.ends[node]:
+            left = last[n - length]
+            fit = known_fits.get((left, token))
+            if fit or fit is None and m.fits(left, token):
+                last += (token,)
+                starts += (n - length,)
+                break
+        else:
             raise ValueError("the vocabulary lacks single bytes")
-        starts += (begin,)
-        alive.append(n)
-        nodes.append(0)
-        cut = alive[0]
+        lives = self.lives[node]
+        cut = n - lives[0]
         if cut:
             # Their encodings agree up to the boundary where the paths of last tokens meet.
-            for s in alive:
+            for length in lives:
+                s = n - length
                 while s != cut:
                     if s > cut:
                         s = starts[s]
                     else:
                         cut = starts[cut]
         if not cut:
-            self.states.append((tail, starts, last, (*alive,), (*nodes,)))
+            self.states.append((tail, starts, last, node))
             return len(self.states) - 1, ()
         emitted = tuple(self._tokens(starts, last, cut))
         tail, last = tail[cut:], last[cut:]
@@ -229,7 +242,7 @@ class Transducer:
         if number is None:
             number = self.numbers[key] = len(self.states)
             starts = (0, *[s - cut for s in starts[cut + 1:]])
-            self.states.append((tail, starts, last, (*[s - cut for s in alive],), (*nodes,)))
+            self.states.append((tail, starts, last, node))
         return number, emitted
 
     def encode(self, piece: bytes) -> list[int]:
@@ -253,7 +266,7 @@ class Transducer:
             state, emitted = got
             if emitted:
                 out += emitted
-        tail, starts, last, _, _ = self.states[state]
+        tail, starts, last, _ = self.states[state]
         return out + self._tokens(starts, last, len(tail))
 
 
