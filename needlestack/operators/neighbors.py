@@ -3,32 +3,49 @@
 Train rows are cut into cells around pivot vectors (the partition scheme of Lu et
 al., "Efficient Processing of k Nearest Neighbor Joins using MapReduce", 2012). The
 triangle inequality gives each query an upper bound on its k-th distance, and the
-query is sent only to cells that can hold something nearer. Crowded cells are cut
-into chunks on both sides, so neither a dense region nor many copies of one vector
-lands in one task. Tasks return at most k rows per query and chunk; a grouped limit
-merges them. Nothing is pruned that could be a neighbour, so the result is exact.
+query is sent only to cells that can hold something nearer. Cells are cut into chunks
+of bounded size on both sides, so neither a dense region nor many copies of one vector
+lands in one task, and what a task holds doesn't grow with the tables. Tasks return at
+most k rows per query and chunk; a grouped limit merges them. Nothing is pruned that
+could be a neighbour, so the result is exact. Vectors of floats travel as floats;
+distances are in doubles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..sources.scratch import materialize
 
 BLOCK_ROWS = 20_000
-QUERY_ROWS = 100_000
+QUERY_ROWS = 20_000
+#: Queries that meet the same rows go to so many chunks where they are few, but not below so many rows a chunk.
+SPREAD, LEAST_QUERIES = 16, 1000
 MAX_CELLS = 1024
-PAIRS_AT_ONCE = 2_000_000
+#: Pairs of rows, or of rows and pivots, that a task holds at a time.
+PAIRS_AT_ONCE = 1_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _vector(df: DataFrame, vec: str) -> Column:
+    """The vector column as `vec`, in floats where it is stored so and in doubles otherwise."""
+    kind = df.select(vec).schema[0].dataType
+    floats = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col(vec).cast("array<float>" if floats else "array<double>").alias("vec")
+
+
+def _chunk_rows(queries: int, query_rows: int) -> int:
+    """Queries a chunk, where `queries` of them meet the same rows."""
+    return min(query_rows, max(LEAST_QUERIES, -(-queries // SPREAD)))
+
+
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(pivots)))
     for j, p in enumerate(pivots):
@@ -40,40 +57,52 @@ def _cell_udf(pivots: np.ndarray):
     @F.pandas_udf("cell int, away double")
     def cell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batches:
-            d = _pivot_distances(_matrix(v), pivots) if len(v) else np.empty((0, len(pivots)))
-            at = d.argmin(axis=1) if len(v) else np.empty(0, dtype=int)
-            yield pd.DataFrame({"cell": at.astype("int32"), "away": d[np.arange(len(v)), at]})
+            at, away = np.empty(len(v), dtype="int32"), np.empty(len(v))
+            for part, x in _slices(v, len(pivots)):
+                d = _pivot_distances(x, pivots)
+                at[part] = d.argmin(axis=1)
+                away[part] = d[np.arange(len(d)), at[part]]
+            yield pd.DataFrame({"cell": at, "away": away})
     return cell
 
 
+def _slices(v: pd.Series, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Parts of a batch, of so many rows that `width` numbers for each of them stay bounded."""
+    step = max(1, PAIRS_AT_ONCE // max(width, 1))
+    for s in range(0, len(v), step):
+        yield slice(s, s + step), _matrix(v.iloc[s:s + step])
+
+
 def _targets_udf(pivots, low, high, kth, counts, k):
     """Cells that may hold one of the k nearest of each query."""
 
+    def visited(x: np.ndarray) -> list:
+        d = _pivot_distances(x, pivots)
+        bound = (d + kth).min(axis=1)
+        far = d + high
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(counts[order], axis=1) >= k
+        reach = np.where(enough.any(axis=1), enough.argmax(axis=1), len(pivots) - 1)
+        row = np.arange(len(x))
+        total = np.where(enough.any(axis=1), far[row, order[row, reach]], np.inf)
+        bound = np.minimum(bound, total)
+        least = np.maximum(d - high, low - d)
+        least = np.maximum(least, (d - d.min(axis=1, keepdims=True)) / 2.0)
+        keep = (least <= (bound * (1 + 1e-9) + 1e-9)[:, None]) & (counts > 0)
+        return [np.flatnonzero(r).astype("int32") for r in keep]
+
     @F.pandas_udf("array<int>")
     def targets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            if not len(v):
-                yield pd.Series([], dtype=object)
-                continue
-            d = _pivot_distances(_matrix(v), pivots)
-            bound = (d + kth).min(axis=1)
-            far = d + high
-            order = np.argsort(far, axis=1)
-            enough = np.cumsum(counts[order], axis=1) >= k
-            reach = np.where(enough.any(axis=1), enough.argmax(axis=1), len(pivots) - 1)
-            row = np.arange(len(v))
-            total = np.where(enough.any(axis=1), far[row, order[row, reach]], np.inf)
-            bound = np.minimum(bound, total)
-            least = np.maximum(d - high, low - d)
-            least = np.maximum(least, (d - d.min(axis=1, keepdims=True)) / 2.0)
-            keep = (least <= (bound * (1 + 1e-9) + 1e-9)[:, None]) & (counts > 0)
-            yield pd.Series([np.flatnonzero(r).astype("int32") for r in keep])
+            yield pd.Series([c for _, x in _slices(v, len(pivots)) for c in visited(x)], dtype=object)
     return targets
 
 
 def _block_nearest(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude_self: bool,
-                   payload: Sequence[str]) -> pd.DataFrame:
-    """The k nearest train rows of each query of one chunk, ties by id."""
+                   payload: Sequence[str], meets: Callable | None = None) -> pd.DataFrame:
+    """The k nearest train rows of each query of one chunk, ties by id.
+
+    With `meets`, which takes both matrices and gives for some of the queries the rows they may meet, only among those."""
     names = ["query_id", "neighbor_id", "distance", *payload]
     if q.empty or t.empty:
         return pd.DataFrame({n: [] for n in names})
@@ -81,14 +110,19 @@ def _block_nearest(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude_self: bool,
     want = min(k + int(exclude_self), len(t))
     t2 = (tx ** 2).sum(axis=1)
     step = max(1, PAIRS_AT_ONCE // len(t))
+    met = meets(qx, tx) if meets else None
     parts = []
     for s in range(0, len(q), step):
         x = qx[s:s + step]
         x2 = (x ** 2).sum(axis=1)
         rough = x2[:, None] + t2[None, :] - 2.0 * (x @ tx.T)
+        held = met(slice(s, s + step)) if met else None
+        if held is not None:
+            rough[~held] = np.inf
         kth = np.partition(rough, want - 1, axis=1)[:, want - 1]
         slack = 1e-9 * (x2 + t2.max() + 1.0)
-        qi, ti = np.nonzero(rough <= (kth + slack)[:, None])
+        near = rough <= (kth + slack)[:, None]
+        qi, ti = np.nonzero(near if held is None else near & held)
         dist = np.empty(len(qi))
         for a in range(0, len(qi), 200_000):
             diff = x[qi[a:a + 200_000]] - tx[ti[a:a + 200_000]]
@@ -144,9 +178,8 @@ def nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
     `payload` columns of the train row come along. Ties break by neighbour id.
     """
     payload = list(payload)
-    wide = F.col(vec).cast("array<double>").alias("vec")
-    t = train.select(F.col(id_col).alias("id"), wide, *payload)
-    q = query.select(F.col(id_col).alias("id"), wide)
+    t = train.select(F.col(id_col).alias("id"), _vector(train, vec), *payload)
+    q = query.select(F.col(id_col).alias("id"), _vector(query, vec))
     need = k + int(exclude_self)
 
     n = t.count()
@@ -174,7 +207,7 @@ def _meet(t: DataFrame, q: DataFrame, counts, loads: dict[int, int], k: int, exc
           payload: Sequence[str], schema: T.StructType, block_rows: int, query_rows: int) -> DataFrame:
     """Rows and queries of each cell compared in chunks, and the k nearest of all chunks."""
     plan = t.sparkSession.createDataFrame(
-        [(c, int(max(1, -(-counts[c] // block_rows))), int(max(1, -(-m // query_rows))))
+        [(c, int(max(1, -(-counts[c] // block_rows))), int(max(1, -(-m // _chunk_rows(m, query_rows)))))
          for c, m in loads.items()], "cell int, t_chunks int, q_chunks int")
     near = _compare(t, q, F.broadcast(plan), k, exclude_self, payload, schema)
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
@@ -182,7 +215,7 @@ def _meet(t: DataFrame, q: DataFrame, counts, loads: dict[int, int], k: int, exc
 
 
 def _compare(t: DataFrame, q: DataFrame, plan: DataFrame, k: int, exclude_self: bool, payload: Sequence[str],
-             schema: T.StructType) -> DataFrame:
+             schema: T.StructType, meets: Callable | None = None) -> DataFrame:
     """The k nearest rows of each query in each chunk; `plan` says into how many chunks a cell's two sides are cut."""
     def spread(df, own, own_n, other, other_n):
         return (df.join(plan, "cell")
@@ -194,7 +227,7 @@ def _compare(t: DataFrame, q: DataFrame, plan: DataFrame, k: int, exclude_self:
     qq = spread(q, "qc", "q_chunks", "tc", "t_chunks")
     keys = ["cell", "tc", "qc"]
     return qq.groupBy(*keys).cogroup(tq.groupBy(*keys)).applyInPandas(
-        lambda a, b: _block_nearest(a, b, k, exclude_self, payload), schema)
+        lambda a, b: _block_nearest(a, b, k, exclude_self, payload, meets), schema)
 
 
 def inverse_distance(neighbors: DataFrame, label: str, out: str = "p") -> DataFrame:
