@@ -10,14 +10,16 @@ scan of all rows; one half of the sample sets the number of probes that reaches
 measures the recall of the finished result, which every row carries as `recall`.
 
 Buckets with many rows or queries (copies of one vector share a bucket in every table) are compared in chunks on
-both sides, as in the exact search, and nothing is capped. Rows and queries with a null vector have no distance and
+both sides, as in the exact search, and nothing is capped. A query travels to each bucket it visits; where it visits
+so many that fewer rows move with all queries cut against all rows in chunks, each chunk instead finds from the
+vectors which rows its queries meet. Both ways meet the same rows. Rows and queries with a null vector have no distance and
 are left out. Ties break by neighbour id; rows of equal id and distance are one. An empty side gives no rows.
 The exact search stays the default of everything built on neighbours.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
-from .neighbors import BLOCK_ROWS, QUERY_ROWS, _block_nearest, _compare, _matrix, _result
+from .neighbors import BLOCK_ROWS, QUERY_ROWS, _block_nearest, _chunk_rows, _compare, _matrix, _result, _vector
 
 TABLES = 4
 BUCKET_ROWS = 4096
@@ -75,6 +77,27 @@ def _cells_udf(directions, cuts, tables: int, probes: int):
     return cells
 
 
+def _meets(directions, cuts, tables: int, probes: int) -> Callable:
+    """Of the queries and rows of a chunk: which pairs share a bucket that the query visits."""
+    def of_chunk(qx: np.ndarray, tx: np.ndarray) -> Callable[[slice], np.ndarray]:
+        theirs = _codes(tx, directions, cuts, tables)[0]
+        held = [np.unique(theirs[:, t], return_inverse=True) for t in range(tables)]
+
+        def of_queries(part: slice) -> np.ndarray:
+            code, gap = _codes(qx[part], directions, cuts, tables)
+            met = np.zeros((len(code), len(tx)), dtype=bool)
+            for t, (buckets, at) in enumerate(held):
+                seen = _probes(code[:, t], gap[:, t], probes)
+                place = np.minimum(np.searchsorted(buckets, seen), len(buckets) - 1)
+                row, col = np.nonzero(buckets[place] == seen)
+                visited = np.zeros((len(code), len(buckets)), dtype=bool)
+                visited[row, place[row, col]] = True
+                met |= visited[:, at]
+            return met
+        return of_queries
+    return of_chunk
+
+
 def scan_nearest(query: pd.DataFrame, train: DataFrame, k: int, exclude_self: bool, id_type: str) -> DataFrame:
     """(query_id, neighbor_id, distance, vec, rank) for a bounded number of queries (id, vec), from one scan of (id, vec).
 
@@ -117,13 +140,13 @@ def approximate_nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id
 
     `probes` is the number of buckets visited per table, `recall` the share of the true k nearest that the result
     holds, over the half of the sample that did not set `probes`. The sample takes `sample` queries of least hash,
-    fewer where k is so large that their neighbours would pass 20,000. Train rows travel `tables` times.
+    fewer where k is so large that their neighbours would pass 20,000. Train rows travel `tables` times, or once a
+    chunk of queries where that moves less.
     """
     payload = list(payload)
-    wide = F.col(vec).cast("array<double>").alias("vec")
-    rows = train.select(F.col(id_col).alias("id"), wide, *payload).where("vec IS NOT NULL")
-    asked = query.select(F.col(id_col).alias("id"), wide).where("vec IS NOT NULL")
-    n = rows.count()
+    rows = train.select(F.col(id_col).alias("id"), _vector(train, vec), *payload).where("vec IS NOT NULL")
+    asked = query.select(F.col(id_col).alias("id"), _vector(query, vec)).where("vec IS NOT NULL")
+    n, m = rows.count(), asked.count()
     bits = min(MAX_BITS, max(1, int(np.ceil(np.log2(max(n, 2) / bucket_rows)))))
     first = (rows if n else asked).select(F.size("vec").alias("d")).first()
     directions = _directions(first["d"] if first else 1, tables * bits, seed)
@@ -135,7 +158,7 @@ def approximate_nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id
     take = max(2, min(sample, SAMPLE_NEIGHBOURS // k))
     drawn = asked.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(take).toPandas().drop_duplicates("id", ignore_index=True)
     id_type = asked.schema["id"].dataType.simpleString()
-    true = scan_nearest(drawn, rows.select("id", "vec"), k, exclude_self, id_type).toPandas()
+    true = scan_nearest(drawn, rows.select("id", F.col("vec").cast("array<double>")), k, exclude_self, id_type).toPandas()
     true["at"] = true["query_id"].map({q: i for i, q in enumerate(drawn["id"])}).astype("int64")
     setting, measured = true[true["at"] % 2 == 0], true[true["at"] % 2 == 1]
     probes = 1
@@ -144,14 +167,22 @@ def approximate_nearest(query: DataFrame, train: DataFrame, k: int, vec: str, id
         while probes < 1 << min(bits, CROSSED) and _share_found(x, setting, directions, cuts, tables, probes) < target:
             probes *= 2
 
-    t = rows.withColumn("cell", F.explode(_cells_udf(directions, cuts, tables, 1)("vec")))
-    q = asked.withColumn("cell", F.explode(_cells_udf(directions, cuts, tables, probes)("vec")))
-    t, q = materialize(t, "lsh_rows"), materialize(q, "lsh_queries")
     chunks = lambda df, size, name: df.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    plan = chunks(t, block_rows, "t_chunks").join(chunks(q, query_rows, "q_chunks"), "cell")
+    t_chunks, q_chunks = max(1, -(-n // block_rows)), max(1, -(-m // _chunk_rows(m, query_rows)))
+    by_chunk = t_chunks * m + q_chunks * n < tables * (probes * m + n)
+    if by_chunk:
+        t, q = rows.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
+        plan = F.broadcast(rows.sparkSession.createDataFrame([(0, t_chunks, q_chunks)], "cell int, t_chunks int, q_chunks int"))
+    else:
+        # Written with their lists of buckets: a row a bucket exists only on its way to it.
+        t = materialize(rows.withColumn("cells", _cells_udf(directions, cuts, tables, 1)("vec")), "lsh_rows")
+        q = materialize(asked.withColumn("cells", _cells_udf(directions, cuts, tables, probes)("vec")), "lsh_queries")
+        t, q = (df.withColumn("cell", F.explode("cells")).drop("cells") for df in (t, q))
+        plan = chunks(t, block_rows, "t_chunks").join(chunks(q, query_rows, "q_chunks"), "cell")
     schema = _result(query.schema[id_col].dataType, train.schema[id_col].dataType, train, payload)
-    met = _compare(t, q, plan, k, exclude_self, payload, schema)
+    met = _compare(t, q, plan, k, exclude_self, payload, schema,
+                   _meets(directions, cuts, tables, probes) if by_chunk else None)
     # A pair met in several tables counts once; both steps below share the shuffle by query.
     met = met.repartition("query_id").dropDuplicates(["query_id", "neighbor_id", "distance"])
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
