@@ -18,7 +18,7 @@ def read_stat_table(spark: SparkSession, path: str, names: Sequence[str] = STAT_
     Infinities, NaN and unreadable numbers become NULL. Splitting text is per-row
     work, so write the result to parquet once and query that.
     """
-    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    line = F.btrim("value", F.lit(" \t\n\x0b\f\r"))         # what \s stands for, without an expression a row
     parts = F.split(line, r"\s+")
     fields = spark.read.text(path).where(F.length(line) > 0).select(parts.alias("f"))
     out = []
