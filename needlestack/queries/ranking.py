@@ -152,9 +152,11 @@ SELECT model, seed, round(sum(CASE WHEN i IN (0, 99) THEN y / 2 ELSE y END) / 99
 FROM curve GROUP BY model, seed""")
 def repeated_pr_areas(spark, sf):
     folds = split.stratified_folds(scored(spark, sf), "rare", "row_id", 4, [1, 9, 17])
-    oof = folds.unpivot(["seed", "fold", "rare"], ["p_price", "p_discount", "p_tax"], "model", "p")
+    models = ["p_price", "p_discount", "p_tax"]
+    # Written before it is made long: a row a seed, and scores of a model stay in a column of their own.
+    oof = materialize(folds.select("seed", "fold", "rare", *models), "oof").unpivot(["seed", "fold", "rare"], models, "model", "p")
     by = ["model", "seed"]
-    mean = curves.mean_curve(materialize(oof, "oof"), "pr", "rare", "p", by=by)
+    mean = curves.mean_curve(oof, "pr", "rare", "p", by=by)
     return curves.curve_area(mean, by).select("model", "seed", r6("area", "area"))
 
 
