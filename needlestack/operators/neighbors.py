@@ -102,12 +102,17 @@ def _block_nearest(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude_self: bool,
                    payload: Sequence[str], meets: Callable | None = None) -> pd.DataFrame:
     """The k nearest train rows of each query of one chunk, ties by id.
 
-    With `meets`, which takes both matrices and gives for some of the queries the rows they may meet, only among those."""
+    With `meets`, which takes both matrices and gives for some of the queries the rows they may meet, only among those;
+    rows of equal id and vector are then one."""
     names = ["query_id", "neighbor_id", "distance", *payload]
     if q.empty or t.empty:
         return pd.DataFrame({n: [] for n in names})
     qx, tx = _matrix(q["vec"]), _matrix(t["vec"])
+    if meets and t["id"].duplicated().any():
+        once = ~pd.DataFrame({"id": t["id"].to_numpy(), "vec": [x.tobytes() for x in tx]}).duplicated().to_numpy()
+        t, tx = t[once], tx[once]
     want = min(k + int(exclude_self), len(t))
+    ids = pd.factorize(pd.concat([q["id"], t["id"]]))[0] if meets and exclude_self else None
     t2 = (tx ** 2).sum(axis=1)
     step = max(1, PAIRS_AT_ONCE // len(t))
     met = meets(qx, tx) if meets else None
@@ -117,6 +122,9 @@ def _block_nearest(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude_self: bool,
         x2 = (x ** 2).sum(axis=1)
         rough = x2[:, None] + t2[None, :] - 2.0 * (x @ tx.T)
         held = met(slice(s, s + step)) if met else None
+        if ids is not None:                     # a repeated id has several rows to leave out
+            own = ids[s:min(s + step, len(q))][:, None]
+            held &= (own != ids[None, len(q):]) | (own < 0)
         if held is not None:
             rough[~held] = np.inf
         kth = np.partition(rough, want - 1, axis=1)[:, want - 1]

@@ -40,6 +40,13 @@ def test_chunks_meet_the_rows_that_buckets_meet(spark, target, monkeypatch):
     assert layouts == [True, False]
 
 
+def test_repeated_rows_take_no_places_of_others(spark):
+    df = vectors(spark, 300, 3)
+    many = df.union(df).union(df)
+    found = approximate.approximate_nearest(many, many, 4, "vec", "id", True, bucket_rows=64)
+    assert found.count() == 1200 and found.where("query_id = neighbor_id").count() == 0
+
+
 def test_queries_of_a_cell_go_to_chunks_of_bounded_size(spark, monkeypatch):
     plans, compare = [], neighbors._compare
     monkeypatch.setattr(neighbors, "_compare", lambda t, q, plan, *a: plans.append(plan.first()) or compare(t, q, plan, *a))
@@ -74,3 +81,66 @@ def test_pivots_times_rows_of_a_task_are_cut(monkeypatch):
     ones = np.ones(50)
     cells = pd.concat(neighbors._targets_udf(pivots, 0 * ones, ones, ones, ones.astype(int), 1).func(iter([v])))
     assert max(seen) <= 500 and cell["cell"].tolist() == [min(i, 49) for i in range(90)] and len(cells) == 90
+
+
+# ---------------------------------------------------------------- learners, orders, logs
+
+def _labelled(spark, n):
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.range(n).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"),
+                               (F.col("id") % 7 > 4).cast("double").alias("y"), F.lit(1.0).alias("weight"), "id")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+
+@pytest.mark.parametrize("name", ["decision_tree", "random_forest", "boosted_trees"])
+@pytest.mark.parametrize("n_rows", [None, 900])
+def test_training_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name, n_rows):
+    from needlestack.learners import trees
+    frame = type(spark.range(0))
+    dealt, real = [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *c: dealt.append(n) or real(df, n, *c))
+    df = _labelled(spark, 900).coalesce(1)
+    learner = getattr(trees, name)({"max_depth": 3, "seed": 1}, n_rows, labelCol="y", weightCol="weight")
+    learner.fit(df)
+    assert not dealt                                            # small tables stay as they lie
+    monkeypatch.setattr(trees, "TASK_BYTES", 4000)
+    model = learner.copy().fit(df)
+    assert dealt and 900 / dealt[0] <= 4000 / trees.ROW_BYTES
+    hits = model.transform(df).where("prediction = y").count()
+    assert hits == 900
+
+
+def test_the_order_moves_no_digests(spark):
+    from pyspark.sql import Window
+    from needlestack.operators.ordered import hashed_ordinal
+    df = spark.range(500).select("id", F.when(F.col("id") % 5 != 0, F.col("id") % 2).alias("y"), F.lit(3).alias("seed"))
+    out = hashed_ordinal(df, ["seed", "y"], "id", "seed", digits=1, lean=True)
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    shuffles = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line and "__b" in line and "id#" in "".join(plan[i:i + 2])]
+    assert shuffles and not any("__h" in line for i in shuffles for line in plan[i:])
+    w = Window.partitionBy("y").orderBy(F.md5(F.concat_ws(":", F.lit("3"), "id")), "id")
+    want = {(r.id, r.n) for r in df.select("id", F.row_number().over(w).alias("n")).collect()}
+    assert {(r.id, r.ordinal) for r in out.collect()} == want
+
+
+def test_log_text_is_split_once(spark, sf, monkeypatch):
+    from needlestack.queries import relational
+    written = []
+    monkeypatch.setattr(relational, "materialize", lambda df, name, f=relational.materialize: written.append(name) or f(df, name))
+    out = relational.labelled_load_shift_log(spark, sf)
+    files = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+    assert written == ["labelled"] and all(f.startswith("labelled-") for f in files)
+
+
+def test_trimming_knows_all_white_space(spark, tmp_path):
+    from needlestack.sources.statlog import read_stat_table
+    (tmp_path / "log").write_text(" \t\x0b\f1 2\t\x0bx\f \n \f\x0b\t \n3  4 y\n")
+    got = read_stat_table(spark, str(tmp_path / "log"), ["a", "b", "name"], id_col="name").collect()
+    assert sorted((r.a, r.b, r.name) for r in got) == [(1.0, 2.0, "x"), (3.0, 4.0, "y")]
+
+
+def test_rows_are_grouped_by_score_once(spark):
+    from needlestack.operators import curves
+    df = spark.range(300).select((F.col("id") % 3).alias("y"), (F.col("id") % 17 / 17.0).alias("p"), (F.col("id") % 2).alias("g"))
+    steps = curves.score_steps(df, "y", "p", ["g"])
+    assert all("/steps-" in f for f in steps.inputFiles()) and steps.inputFiles()
