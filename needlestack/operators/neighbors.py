@@ -98,19 +98,26 @@ def _targets_udf(pivots, low, high, kth, counts, k):
     return targets
 
 
+def _once(df: pd.DataFrame, x: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of equal id and vector as one, with their matrix."""
+    if not df["id"].duplicated().any():
+        return df, x
+    once = ~pd.DataFrame({"id": df["id"].to_numpy(), "vec": [v.tobytes() for v in x]}).duplicated().to_numpy()
+    return df[once], x[once]
+
+
 def _block_nearest(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude_self: bool,
                    payload: Sequence[str], meets: Callable | None = None) -> pd.DataFrame:
     """The k nearest train rows of each query of one chunk, ties by id.
 
     With `meets`, which takes both matrices and gives for some of the queries the rows they may meet, only among those;
-    rows of equal id and vector are then one."""
+    rows, and queries, of equal id and vector are then one."""
     names = ["query_id", "neighbor_id", "distance", *payload]
     if q.empty or t.empty:
         return pd.DataFrame({n: [] for n in names})
     qx, tx = _matrix(q["vec"]), _matrix(t["vec"])
-    if meets and t["id"].duplicated().any():
-        once = ~pd.DataFrame({"id": t["id"].to_numpy(), "vec": [x.tobytes() for x in tx]}).duplicated().to_numpy()
-        t, tx = t[once], tx[once]
+    if meets:
+        (q, qx), (t, tx) = _once(q, qx), _once(t, tx)
     want = min(k + int(exclude_self), len(t))
     ids = pd.factorize(pd.concat([q["id"], t["id"]]))[0] if meets and exclude_self else None
     t2 = (tx ** 2).sum(axis=1)
